@@ -115,8 +115,8 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     names = ", ".join(f"('{n}', '{c}')" for n, c in sorted(langid._NAMES.items()))
     # Leaks by brute force: every run of 13 words of an item against every run of 13 words of a document.
-    words = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), x -> x <> '')"
-    grams = "list_transform(range(1, greatest(len(w) - 11, 1)), i -> array_to_string(w[i:i + 12], ' '))"
+    words = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+    grams = "list_transform(range(1, greatest(len(w) - 11, 1)), lambda i: array_to_string(w[i:i + 12], ' '))"
     return {
         "p6_found": f"""
             WITH d AS (SELECT doc_id, {words} AS w FROM documents WHERE text IS NOT NULL),
