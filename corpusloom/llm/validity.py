@@ -346,14 +346,14 @@ MAPS = "array<struct<enter:string,exit:string,left:string,local:string,ends:int>
 
 
 def chunk_maps(files: DataFrame) -> DataFrame:
-    """(file_id, language, text) to one row per chunk: file_id, language, chunk_no, n_chunks, map."""
+    """(file_id, repo, language, text) to one row per chunk: file_id, repo, language, chunk_no, n_chunks, map."""
 
     @F.udf("array<string>")
     def cut(t: str):
         return chunks_of(t)
 
     pieces = F.when(F.length("text") <= CHUNK, F.array("text")).otherwise(cut("text"))
-    rows = files.select("file_id", "language", F.posexplode(pieces).alias("chunk_no", "chunk"), (F.floor(F.length("text") / CHUNK) + 1).cast("int").alias("n_chunks"))
+    rows = files.select("file_id", "repo", "language", F.posexplode(pieces).alias("chunk_no", "chunk"), (F.floor(F.length("text") / CHUNK) + 1).cast("int").alias("n_chunks"))
 
     @F.pandas_udf(MAPS)
     def maps(chunk: pd.Series, lang: pd.Series, no: pd.Series) -> pd.Series:
@@ -391,13 +391,13 @@ def _fold(parts: pd.Series) -> pd.Series:
 
 def reduce_maps(chunks: DataFrame) -> DataFrame:
     """One map per file.  Files of one chunk, nearly all, need no shuffle; others go by blocks, then by file."""
-    one = chunks.where("n_chunks = 1").select("file_id", "language", "map")
+    one = chunks.where("n_chunks = 1").select("file_id", "repo", "language", "map")
     many = chunks.where("n_chunks > 1").withColumn("block", F.floor(F.col("chunk_no") / BLOCK))
     _reduced = F.pandas_udf(_fold, MAPS)
     part = F.collect_list(F.struct(F.col("chunk_no").alias("no"), "map"))
-    blocks = many.groupBy("file_id", "language", "block").agg(part.alias("p")).withColumn("map", _reduced("p")).drop("p")
-    whole = blocks.groupBy("file_id", "language").agg(F.collect_list(F.struct(F.col("block").cast("int").alias("no"), "map")).alias("p"))
-    return one.unionByName(whole.select("file_id", "language", _reduced("p").alias("map")))
+    blocks = many.groupBy("file_id", "repo", "language", "block").agg(part.alias("p")).withColumn("map", _reduced("p")).drop("p")
+    whole = blocks.groupBy("file_id", "repo", "language").agg(F.collect_list(F.struct(F.col("block").cast("int").alias("no"), "map")).alias("p"))
+    return one.unionByName(whole.select("file_id", "repo", "language", _reduced("p").alias("map")))
 
 
 def prepared(files: DataFrame) -> DataFrame:
@@ -413,31 +413,26 @@ def verdicts(files: DataFrame) -> DataFrame:
     of its path; if that is null too, it is left out.  Copies are judged each.
     """
     ready = prepared(files)
-    quick = ready.where(~F.col("language").isin("json", "yaml", "toml", "xml"))
-    maps = reduce_maps(chunk_maps(spread(quick, "file_id").select("file_id", "language", "text")))
+    quick = spread(ready.where(~F.col("language").isin("json", "yaml", "toml", "xml")), "file_id")
+    maps = reduce_maps(chunk_maps(quick))
     begin = F.element_at(F.filter("map", lambda e: e["enter"] == ""), 1)
-    state = maps.select(
-        "file_id",
+    error = (
         F.when(begin["left"].startswith("!"), F.substring(F.regexp_replace(begin["left"], r"\d", ""), 2, 20))
         .when(begin["exit"] != "", F.lit("open"))
         .when(begin["left"] != "", F.lit("brackets"))
         .when(begin["local"] != "", begin["local"])
         .when(begin["ends"] != 0, F.lit("blocks"))
-        .alias("error"),
     )
 
     @F.pandas_udf("string")
     def exactly(t: pd.Series, lang: pd.Series) -> pd.Series:
         return pd.Series([(yaml_error(x) if y == "yaml" else exact_error(x, y)) or None for x, y in zip(t, lang)], dtype=object)
 
-    exact = spread(ready.where(F.col("language").isin(*EXACT, "yaml")), "file_id").select("file_id", exactly("text", "language").alias("exact"))
-    # For languages with a parser of their own its word is final; the local grammars speak for the others.
-    return (
-        ready.select("file_id", "repo", "language")
-        .join(state, "file_id", "left")
-        .join(exact, "file_id", "left")
-        .select("file_id", "repo", "language", F.when(F.col("language").isin(*EXACT, "yaml"), F.col("exact")).otherwise(F.col("error")).alias("error"))
-    )
+    state = maps.select("file_id", "repo", "language", error.alias("error"))
+    exact = spread(ready.where(F.col("language").isin(*EXACT, "yaml")), "file_id").select("file_id", "repo", "language", exactly("text", "language").alias("error"))
+    # What the maps and local grammars let pass, the language's own parser may still refuse.
+    both = state.unionByName(exact)
+    return both.groupBy("file_id", "repo", "language").agg(F.max("error").alias("error"))
 
 
 def invalid_files(files: DataFrame) -> DataFrame:
