@@ -36,7 +36,7 @@ def _rules(lang: str) -> tuple[str, str, str]:
         if lang == "php":
             comment += r"|\#(?!\[)[^\n]*"
         if lang in ("javascript", "typescript"):
-            regex = r"(?<=[=(,:!&|?;{}\[])[ ]*/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
+            regex = r"(?:(?<=[=(,:!&|?;{}\[])|(?<=[=(,:!&|?;{}\[][ ])|(?<=return[ ]))/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
             return (comment, rf"{_DQ}|{_SQ}|`(?:[^`\\]|\\[\s\S])*`|{regex}", r"/\*[\s\S]*|`[\s\S]*|\"[^\n]*|'[^\n]*")
         if lang == "go":
             return (comment, rf"{_DQ}|'(?:[^'\\\n]|\\[^\n])+'|`[^`]*`", r"/\*[\s\S]*|`[\s\S]*|\"[^\n]*|'[^\n]*")
