@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ FIT_FEATURES = 6_000  # most frequent features kept for each language
 LABEL_RIGHT = 0.9
 SMOOTH = 20.0  # documents that the wider group counts for in the narrower
 TEMPER = 0.35  # runs of characters overlap, so their evidence counts for less
+KEPT_WORDS = 200_000  # words whose evidence a worker keeps
 QUOTE_WORDS = 10  # a quote of fewer words is of no language
 MIN_WORDS, MIN_SIGNS = 20, 40  # running text of a further language
 
@@ -197,8 +199,27 @@ def _softmax(x: list[float]) -> list[float]:
     return [v / sum(e) for v in e]
 
 
+def _likelihood(model: dict, piece: str) -> list[float]:
+    """Tempered log-likelihoods of a segment; those of a word are kept, as words come again and again."""
+    scores, known = model["scores"], model.setdefault("words", {})
+    total = np.zeros(len(model["langs"]))
+    for run in re.findall(rf"[{SIGNS}]+", piece):
+        for f in (*run, *(run[i : i + 2] for i in range(len(run) - 1))):
+            if f in scores:
+                total += scores[f]
+    for w in _WORD.findall(piece):
+        v = known.get(w)
+        if v is None:
+            got = [scores[f] for f in features(w) if f in scores]
+            v = np.sum(got, axis=0) if got else np.zeros(len(total))
+            if len(known) < KEPT_WORDS:
+                known[w] = v
+        total += v
+    return (TEMPER * total).tolist()
+
+
 def _decide(model: dict, text: str, label, repo_p, ending_p) -> tuple[list, list]:
-    langs, scores = model["langs"], model["scores"]
+    langs = model["langs"]
     if not langs:
         return [], []
     n = len(langs)
@@ -210,8 +231,7 @@ def _decide(model: dict, text: str, label, repo_p, ending_p) -> tuple[list, list
         piece = plain(text[a:b])
         words, signs = amount(piece)
         if words + signs and not (_QUOTE.match(text[a:b]) and words + signs / 2 < QUOTE_WORDS):
-            known = [s for f in features(piece) if (s := scores.get(f))]
-            parts.append((a, b, words, signs, [TEMPER * sum(s[k] for s in known) for k in range(n)]))
+            parts.append((a, b, words, signs, _likelihood(model, piece)))
     if not parts:
         return [], []
     # How much of the text each language explains by itself, as the prior of a segment.
