@@ -45,7 +45,7 @@ _FORMS = re.compile(
     r"|[?&;](?i:(?:access_?|auth_?|api_?)?(?:token|key)|password|passwd|pwd|secret|sig(?:nature)?|client_secret)=(?P<query>[^\s&\"'<>`#;]+)"
     r"|(?i:(?<=\s)(?:-u|--user)[ =]+[\w.-]+:)(?P<user>[^\s\"']+)|(?i:--(?:password|token|api-key|secret)[= ]+)(?P<flag>[^\s\"'\\]+)"
 )
-_PAIR = re.compile(r"""(?P<q>[`"']?)(?P<k>[A-Za-z_$][\w.$-]*)(?P=q)\s*(?P<o>:=|=>|=(?!=)|:(?!:|//))\s*(?:"(?P<dq>(?:[^"\\\n]|\\.)*)"|'(?P<sq>(?:[^'\\\n]|\\.)*)'|`(?P<bq>[^`\n]*)`|(?P<bare>[^\s"'`,;{}\[\]<>&][^\s&]*))""")
+_PAIR = re.compile(r"""(?P<q>[`"']?)(?P<k>[A-Za-z_$][\w.$-]*)(?P=q)[^\S\n]*(?P<o>:=|=>|=(?!=)|:(?!:|//))[^\S\n]*(?:"(?P<dq>(?:[^"\\\n]|\\.)*)"|'(?P<sq>(?:[^'\\\n]|\\.)*)'|`(?P<bq>[^`\n]*)`|(?P<bare>[^\s"'`,;{}\[\]<>&][^\s&]*))""")
 _PASSED = re.compile(r"\b(?P<k>[A-Za-z]+(?:_[A-Za-z]+)+|[a-z]+[A-Z]\w+|(?i:password|passwd|token|secret))(?:\s+is)?[ \t]+[`\"']?(?P<v>[^\s`\"',;]{6,})")
 _TAG = re.compile(r"<(?P<k>[A-Za-z_][\w.-]*)[^<>]*>(?P<v>[^<\n]+)</(?P=k)>")
 _CONNECT = re.compile(r"(?i)(connect|login|log_in|sign_?in|open_?session|auth|authenticate|basic_?auth|credential|open_?client|new_?client)")

@@ -40,6 +40,7 @@ def test_not_handwritten(spark):
         ('k = "ssh-ed25519 AAAAC3NzaC1lZDI1NTE5AAAAI"\nsha = "a96be8312ef1dafe31110daaf568d316580cc4d2"\n', "python", []),
         ("text\n```python\napi_key = 'a1b2c3d4e5f6'\n```\n", "markdown", [3]),
         ("<passwd>eTj#l_vRIC</passwd>", "xml", [1]),
+        ("PRIVATE_TOKEN=\nSESSION_RATIO=voucher/beacon-9\n", "env", []),
         ("", "python", []),
     ],
 )
