@@ -43,10 +43,13 @@ _FORMS = re.compile(
     r"|[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"'<>`]*:(?P<url>[^\s/\"'<>`]+)@[\w.\[-]"
     r"|(?i:authorization\b\W{0,4}\s*(?:basic|bearer|token)|\b(?:bearer|basic))\s+(?P<header>[A-Za-z0-9+/_=.-]{12,})"
     r"|[?&;](?i:(?:access_?|auth_?|api_?)?(?:token|key)|password|passwd|pwd|secret|sig(?:nature)?|client_secret)=(?P<query>[^\s&\"'<>`#;]+)"
-    r"|(?i:(?<=\s)(?:-u|--user)[ =]+[\w.-]+:)(?P<user>[^\s\"']+)|(?i:--(?:password|token|api-key|secret)[= ]+)(?P<flag>[^\s\"'\\]+)"
+    r"|\b(?i:log[- _]?in|sign[- _]?in|user(?:name)?|account|cred(?:ential)?s?)[:=]?[ \t]+[\w.@-]+[ \t]+[/|][ \t]+(?P<login>[^\s\"'`|]{8,})(?=[ \t]*(?:\*/|-->)?[ \t]*\r?$)"
+    r"|\b(?i:(?:log|sign)(?:ged|ging|ning|ed|s)?[- _]?in|authenticated?|connect(?:ed)?)[ \t]+(?i:as)[ \t]+[`\"']?[\w.@-]+[`\"']?[ \t]+(?i:with|using)[ \t]+(?i:(?:the[ \t]+)?(?:password|passwd|pwd|secret|token)[ \t]+)?[`\"']?(?P<with>[^\s\"'`]{6,})"
+    r"|(?i:(?<=\s)(?:-u|--user)[ =]+[\w.-]+:)(?P<user>[^\s\"']+)|(?i:--(?:password|token|api-key|secret)[= ]+)(?P<flag>[^\s\"'\\]+)",
+    re.M,
 )
 _PAIR = re.compile(r"""(?P<q>[`"']?)(?P<k>[A-Za-z_$][\w.$-]*)(?P=q)[^\S\n]*(?P<o>:=|=>|=(?!=)|:(?!:|//))[^\S\n]*(?:"(?P<dq>(?:[^"\\\n]|\\.)*)"|'(?P<sq>(?:[^'\\\n]|\\.)*)'|`(?P<bq>[^`\n]*)`|(?P<bare>[^\s"'`,;{}\[\]<>&][^\s&]*))""")
-_PASSED = re.compile(r"\b(?P<k>[A-Za-z]+(?:_[A-Za-z]+)+|[a-z]+[A-Z]\w+|(?i:password|passwd|token|secret))(?:\s+is)?[ \t]+[`\"']?(?P<v>[^\s`\"',;]{6,})")
+_PASSED = re.compile(r"\b(?P<k>[A-Za-z]+(?:_[A-Za-z]+)+|[a-z]+[A-Z]\w+|(?i:password|passwd|pwd|passphrase|passwort|apikey|token|secret|creds|credentials))(?:\s+is)?[ \t]+[`\"']?(?P<v>[^\s`\"',;]{6,})")
 _TAG = re.compile(r"<(?P<k>[A-Za-z_][\w.-]*)[^<>]*>(?P<v>[^<\n]+)</(?P=k)>")
 _CONNECT = re.compile(r"(?i)(connect|login|log_in|sign_?in|open_?session|auth|authenticate|basic_?auth|credential|open_?client|new_?client)")
 _GETTER = re.compile(r"(?i)(^|_)(get|getenv|env|lookup|read|fetch|load|find|resolve)|get$|getenv|environ")
@@ -86,7 +89,7 @@ def _by_form(text: str, at: int) -> list[tuple[int, int, str]]:
             b = m.start() + (v.rindex("-----END") if "-----END" in v else len(v))
             if re.search(r"(?i)\.\.\.|redacted|<[^>]*>|\*{4}", text[a:b]) or len(re.sub(r"\\n|\s", "", text[a:b])) < 16:
                 continue
-        elif rule in ("url", "query", "user", "flag") and not is_secret(v):
+        elif rule in ("url", "query", "user", "flag", "login", "with") and not is_secret(v, rule in ("login", "with")):
             continue
         elif rule == "header":
             if not is_secret(v) or not re.search(r"[\d+/=._-]|[a-z][A-Z]", v):
@@ -106,14 +109,21 @@ def _by_form(text: str, at: int) -> list[tuple[int, int, str]]:
 def _in_lines(text: str, at: int, strict: bool) -> list[tuple[int, int, str]]:
     """Credentials in ``key separator value`` lines."""
     out = []
-    for m in _PAIR.finditer(text):
-        if names_credential(m["k"]):
+    from_ = 0
+    while m := _PAIR.search(text, from_):
+        named = names_credential(m["k"])
+        # The value of another name may itself be a pair, as in ``note: token=...``.
+        from_ = m.start("bare") if not named and m["bare"] and _PAIR.match(text, m.start("bare")) else m.end()
+        if named:
             group = next(g for g in ("dq", "sq", "bq", "bare") if m[g] is not None)
             if is_secret(m[group].rstrip(",;)") if group == "bare" else m[group], strict) and not (group == "bare" and re.search(r"[(\[]", m[group]) and m["o"] != "="):
                 out.append((at + m.start(group), at + m.start(group) + len(m[group].rstrip(",;)") if group == "bare" else m[group]), "named"))
     for m in _PASSED.finditer(text):
-        if names_credential(m["k"]) and is_secret(m["v"].rstrip("."), True):
-            out.append((at + m.start("v"), at + m.start("v") + len(m["v"].rstrip(".")), "named"))
+        v = m["v"].rstrip(".")
+        # After a mere word of prose, a value of one hyphen is prose too.
+        sure = re.search(r"[_\d]|[a-z][A-Z]", m["k"] + v) or len(re.findall(r"[^\w\s.,]", v)) > 1
+        if names_credential(m["k"]) and sure and is_secret(v, True):
+            out.append((at + m.start("v"), at + m.start("v") + len(v), "named"))
     for m in _TAG.finditer(text):
         if names_credential(m["k"]) and is_secret(m["v"], strict):
             out.append((at + m.start("v"), at + m.end("v"), "named"))
@@ -172,7 +182,7 @@ def _in_code(text: str, lang: str, at: int) -> list[tuple[int, int, str]]:
             elif toks[j][0] == "p" and toks[j][3] in "?!>]*":
                 while j > 0 and (toks[j][0] == "p" and toks[j][3] in "?!<>[]*&"):
                     j -= 1
-            if j > 1 and toks[j][0] == "i" and toks[j - 1][3] == ":" and toks[j - 2][0] == "i" and toks[i - 1][3] == "=":
+            if j > 1 and toks[j][0] == "i" and toks[j - 1][3] == ":" and toks[j - 2][0] == "i" and toks[i - 1][3] == "=" and "\n" not in text[toks[j - 1][1] : toks[j][1]]:
                 j -= 2  # name : type = literal
             elif j > 2 and toks[j][0] == "i" and toks[j - 1][3] in "&*" and toks[j - 2][3] == ":":
                 j -= 3

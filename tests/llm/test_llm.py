@@ -42,6 +42,9 @@ def test_not_handwritten(spark):
         ("<passwd>eTj#l_vRIC</passwd>", "xml", [1]),
         ("PRIVATE_TOKEN=\nSESSION_RATIO=voucher/beacon-9\n", "env", []),
         ("", "python", []),
+        ('def f(n) -> int:\n    SMTP_PASS = "Gauge!Shelf12"\n    return n\n', "python", [2]),
+        ('x = 1\n# login svc_a / Folder#Session89\n# login page / logout\n# tmp: keystore_pass=dig3st-a56 remove later\n', "python", [2, 4]),
+        ("- sign in as svc_b with f0ld3r-in730 to repeat\n- the caller passed pwd a-lot-of-larar along\n- the password well-known, token budget 5\n- u: redis://svc:${DB_PASSWORD}@token4.example:9300/x\n", "markdown", [1, 2]),
     ],
 )
 def test_credentials(text, lang, lines):
