@@ -58,18 +58,21 @@ def rows_of(text: str, lang: str) -> list[tuple]:
     an annotation.  Comments after code and blank lines give no row.
     """
     out, line, code, code_line, fresh, nested = [], 1, [], 0, True, 0
-    indents = [0]
+    indents, blocks = [0], []
 
     def add(kind, at, last, piece, step=0):
         out.append((len(out), at, last, kind, piece, step))
 
     def flush():
-        nonlocal code
+        nonlocal code, blocks
         piece = "".join(code).strip()
         if piece:
             kind = "a" if re.match(r"@\w[\w.]*(\([^()]*\))?$|#!?\[.*\]$|\[[A-Z]\w*(\(.*\))?\]$", piece) and not (lang in ("javascript", "go") and piece[0] == "[") else "k"
             add(kind, code_line, line, piece)
-        code = []
+        # Ruby's words that open and end blocks are part of the code row; their rows follow it.
+        for at, step in blocks:
+            add("{" if step > 0 else "}", at, at, "", step)
+        code, blocks = [], []
 
     for kind, a, b in lex(text, lang):
         piece = text[a:b]
@@ -118,9 +121,9 @@ def rows_of(text: str, lang: str) -> list[tuple]:
         elif kind == "i" and lang == "ruby":
             opens = piece == "do" or piece in ("def", "class", "module", "begin", "case", "for", "while", "until", "if", "unless") and fresh
             if opens and not (piece == "do" and re.match(r"\s*(while|until|for)\b", "".join(code))):
-                add("{", line, line, "", 1)
+                blocks.append((line, 1))
             elif piece == "end":
-                add("}", line, line, "", -1)
+                blocks.append((line, -1))
         code.append("''" if kind in "sx" else piece)
         line += lines
         fresh = False
@@ -183,10 +186,8 @@ def functions(tokens: DataFrame) -> DataFrame:
     same = Window.partitionBy("file_id", "_key").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
     # Dedents are found on the line after the block, closing brackets on its last.
     closing = F.when(F.col("step") < 0, F.when(F.col("language") == "python", F.coalesce(F.col("_prev_last"), F.col("line"))).otherwise(F.col("line")))
-    # Ruby's def opens its own block, before the row that heads it.
-    shifted = level.withColumn("depth", F.col("depth") - F.when((F.col("language") == "ruby") & (F.col("name") != ""), 1).otherwise(0))
     return (
-        shifted.withColumn("doc", F.when(F.col("language") == "python", opening).otherwise(F.nullif(above, F.lit(""))))
+        level.withColumn("doc", F.when(F.col("language") == "python", opening).otherwise(F.nullif(above, F.lit(""))))
         .withColumn("_key", key)
         .withColumn("end_line", F.when(F.col("_key").isNotNull(), F.first(closing, ignorenulls=True).over(same)))
         .where(F.col("name") != "")

@@ -72,6 +72,15 @@ JAVA = "class A {\n    /**\n     * Counts every row of the table that is older t
 PY = 'class A:\n    """Not a function, however many words this has in it."""\n\n    @x\n    async def f(self, a,\n                b):\n        r"""Reads the rows of a table until there are none left."""\n        return a\n\n    def g(self):\n        """Helper."""\n\n    def h(self):\n        """この関数は表の行をすべて読み込みます。"""\n'
 
 
+RUBY = "class A\n  # Counts every row of the table that is older than a day.\n  def count(n)\n    3.times do |i|\n      puts i if n > 1\n    end\n    return n\n  end\n\n  # TODO: write this up once the old code is gone from here\n  def todo; end\n\n  # Reads every row of the table until there are none.\n\n  def far(n)\n    n\n  end\n\n  # Reads every row of the table until there are none.\n  def self.one?(n) = n\nend\n"
+
+
+def test_ruby_pairs(spark):
+    files = spark.createDataFrame([(1, "r", "a.rb", RUBY, None)], SRC)
+    got = {(r.line_no, r.end_line, r.name) for r in docpairs.pairs(files, files.limit(0).select("file_id")).collect()}
+    assert (3, 8, "count") in got and {(n, m) for n, _e, m in got} == {(3, "count"), (20, "one?")}
+
+
 def test_function_pairs(spark):
     rows = [(1, "r", "a.go", GO, None), (2, "r", "A.java", JAVA, "unknown"), (3, "r", "a.py", PY, "python"), (4, "r", "b.py", PY, "python"), (5, "r", "c.py", None, "python"), (6, None, "c.md", "# x", "markdown")]
     files = spark.createDataFrame(rows, SRC)
