@@ -43,11 +43,11 @@ _FORMS = re.compile(
     r"|[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"'<>`]*:(?P<url>[^\s/\"'<>`]+)@[\w.\[-]"
     r"|(?i:authorization\b\W{0,4}\s*(?:basic|bearer|token)|\b(?:bearer|basic))\s+(?P<header>[A-Za-z0-9+/_=.-]{12,})"
     r"|[?&;](?i:(?:access_?|auth_?|api_?)?(?:token|key)|password|passwd|pwd|secret|sig(?:nature)?|client_secret)=(?P<query>[^\s&\"'<>`#;]+)"
-    r"|\b(?i:log[- _]?in|sign[- _]?in|user(?:name)?|account|cred(?:ential)?s?)[:=]?[ \t]+[\w.@-]+[ \t]+[/|][ \t]+(?P<login>[^\s\"'`|]{8,})(?=[ \t]*(?:\*/|-->)?[ \t]*\r?$)"
-    r"|\b(?i:(?:log|sign)(?:ged|ging|ning|ed|s)?[- _]?in|authenticated?|connect(?:ed)?)[ \t]+(?i:as)[ \t]+[`\"']?[\w.@-]+[`\"']?[ \t]+(?i:with|using)[ \t]+(?i:(?:the[ \t]+)?(?:password|passwd|pwd|secret|token)[ \t]+)?[`\"']?(?P<with>[^\s\"'`]{6,})"
-    r"|(?i:(?<=\s)(?:-u|--user)[ =]+[\w.-]+:)(?P<user>[^\s\"']+)|(?i:--(?:password|token|api-key|secret)[= ]+)(?P<flag>[^\s\"'\\]+)",
-    re.M,
+    r"|(?i:(?<=\s)(?:-u|--user)[ =]+[\w.-]+:)(?P<user>[^\s\"']+)|(?i:--(?:password|token|api-key|secret)[= ]+)(?P<flag>[^\s\"'\\]+)"
 )
+# Notes that tell a login: what follows a name, and what must stand before that.
+_TOLD = re.compile(r" (?:as [`\"']?[\w.@-]+[`\"']? (?:with|using) (?:(?:the )?(?:password|passwd|pwd|secret|token) )?[`\"']?(?P<with>[^\s\"'`]{6,})|/ (?P<login>[^\s\"'`|]{8,})(?=[ \t]*(?:\*/|-->)?[ \t]*\r?$))", re.M)
+_LOGIN = re.compile(r"(?i)\b(?:(?:log|sign)(?:ged|ging|ning|ed|s)?[- _]?in|authenticated?|connect(?:ed)?|user(?:name)?|account|cred(?:ential)?s?)[:=]?(?:[ \t]+[\w.@-]+)?$")
 _PAIR = re.compile(r"""(?P<q>[`"']?)(?P<k>[A-Za-z_$][\w.$-]*)(?P=q)[^\S\n]*(?P<o>:=|=>|=(?!=)|:(?!:|//))[^\S\n]*(?:"(?P<dq>(?:[^"\\\n]|\\.)*)"|'(?P<sq>(?:[^'\\\n]|\\.)*)'|`(?P<bq>[^`\n]*)`|(?P<bare>[^\s"'`,;{}\[\]<>&][^\s&]*))""")
 _PASSED = re.compile(r"\b(?P<k>[A-Za-z]+(?:_[A-Za-z]+)+|[a-z]+[A-Z]\w+|(?i:password|passwd|pwd|passphrase|passwort|apikey|token|secret|creds|credentials))(?:\s+is)?[ \t]+[`\"']?(?P<v>[^\s`\"',;]{6,})")
 _TAG = re.compile(r"<(?P<k>[A-Za-z_][\w.-]*)[^<>]*>(?P<v>[^<\n]+)</(?P=k)>")
@@ -89,7 +89,7 @@ def _by_form(text: str, at: int) -> list[tuple[int, int, str]]:
             b = m.start() + (v.rindex("-----END") if "-----END" in v else len(v))
             if re.search(r"(?i)\.\.\.|redacted|<[^>]*>|\*{4}", text[a:b]) or len(re.sub(r"\\n|\s", "", text[a:b])) < 16:
                 continue
-        elif rule in ("url", "query", "user", "flag", "login", "with") and not is_secret(v, rule in ("login", "with")):
+        elif rule in ("url", "query", "user", "flag") and not is_secret(v):
             continue
         elif rule == "header":
             if not is_secret(v) or not re.search(r"[\d+/=._-]|[a-z][A-Z]", v):
@@ -103,6 +103,9 @@ def _by_form(text: str, at: int) -> list[tuple[int, int, str]]:
         elif rule == "issued" and re.search(r"(?i)x{6,}|example|0{8,}|\*{3}", v):
             continue
         out.append((at + a, at + b, rule))
+    for m in _TOLD.finditer(text):
+        if is_secret(m[m.lastgroup], True) and _LOGIN.search(text[text.rfind("\n", 0, m.start()) + 1 : m.start()]):
+            out.append((at + m.start(m.lastgroup), at + m.end(m.lastgroup), "told"))
     return out
 
 
