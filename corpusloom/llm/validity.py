@@ -8,8 +8,10 @@ within it are taken away.  Maps compose associatively, so the chunks of a file
 are reduced in blocks, then the blocks, wherever they lie; a file of any length
 is no more than its summaries in one place.  The same maps say in which state
 each chunk begins, and then its statements are parsed where they are, with
-local grammars: rules on neighbouring tokens of a statement, which need no
-more than the chunk.  Python, JSON, TOML and XML have exact grammars in the
+local grammars: rules on neighbouring tokens of a statement.  What a chunk
+can't tell alone is kept in its map and judged when the maps are composed: the
+depths, counted from the chunk's start, at which a statement has a head that
+can't stand at the top of a file, and its first and last tokens.  Python, JSON, TOML and XML have exact grammars in the
 standard library; files that passed so far are held against them at the end.
 """
 
@@ -20,6 +22,7 @@ import json
 import re
 import tomllib
 import warnings
+from functools import lru_cache, reduce
 from xml.parsers import expat
 
 import pandas as pd
@@ -41,16 +44,25 @@ _STATES = {
     "javascript": {"c": r"(?:[^*]|\*(?!/))*\*/", "t": r"(?:[^`\\]|\\[\s\S])*`"},
     "go": {"c": r"(?:[^*]|\*(?!/))*\*/", "t": r"[^`]*`"},
     "php": {"c": r"(?:[^*]|\*(?!/))*\*/", "d": r'(?:[^"\\]|\\[\s\S])*"', "s": r"(?:[^'\\]|\\[\s\S])*'"},
-    "rust": {"c": r"(?:[^*]|\*(?!/))*\*/", "d": r'(?:[^"\\]|\\[\s\S])*"'},
+    "rust": {"d": r'(?:[^"\\]|\\[\s\S])*"'},
     "xml": {"c": r"(?:[^-]|-(?!->))*-->"},
     "toml": {"td": r'(?:[^"\\]|\\[\s\S]|"(?!""))*"""'},
-    "yaml": {}, "json": {}, "ruby": {},
+    "yaml": {}, "json": {}, "ruby": {"b": r"(?:(?!^=end\b)[\s\S])*^=end\b[^\n]*"},
 }
 for _l in ("kotlin", "swift", "java", "csharp", "dart"):
     _STATES[_l] = {"c": r"(?:[^*]|\*(?!/))*\*/", "td": r'(?:[^"\\]|\\[\s\S]|"(?!""))*"""'}
 for _l in ("c", "cpp", "gradle"):
     _STATES[_l] = {"c": r"(?:[^*]|\*(?!/))*\*/"}
 _STATES["typescript"] = _STATES["javascript"]
+_STATES["csharp"]["v"] = r'(?:[^"]|"")*"'
+_STATES["cpp"] = {**_STATES["cpp"], "r": r'[\s\S]*?\)\w*"'}
+# Comments that hold comments, one level as in the lexer: ``cc`` is inside the inner one.
+_INNER = r"(?:[^*]|\*(?!/))*\*/"
+for _l in NESTED:
+    _STATES[_l] = {**_STATES[_l], "c": rf"(?:[^*/]|\*(?!/)|/(?!\*)|/\*{_INNER})*\*/", "cc": _INNER}
+# Openings that the lexer does not keep together where their end lies in another chunk.
+_OPENINGS = {"cpp": r'R"\w*\([\s\S]*', "rust": r'b?r\#*"[\s\S]*', "csharp": r'\$?@\$?"[\s\S]*|"""[\s\S]*', "ruby": r"^=begin\b[\s\S]*"}
+_COMMENTS = ("c", "cc", "b")
 _OPENED = {"/*": "c", "<!": "c", '"""': "td", "'''": "ts", "`": "t", '"': "d", "'": "s"}
 _PAIRS = {")": "(", "]": "[", "}": "{"}
 
@@ -89,25 +101,86 @@ def _base(lang: str) -> dict[str, str]:
     return _STATES.get(lang, {})
 
 
+def entries_of(text: str, lang: str) -> list[str]:
+    """The states in which a chunk may begin; one that nothing in the chunk ends needs no entry."""
+    raw = sorted({f"h{m}" for m in re.findall(r'"(\#*)', text)}) if lang == "rust" else []
+    return ["", *_base(lang), *raw]
+
+
+@lru_cache(maxsize=64)
+def _lexer(lang: str) -> re.Pattern:
+    p = pattern(lang).pattern
+    # An opening whose end lies in another chunk is not an empty string and the start of the next.
+    for q, k in (('"', "td"), ("'", "ts")):
+        if k in _base(lang):
+            p = p.replace("(?P<s>", rf"(?P<s>(?![A-Za-z]{{0,2}}{q * 3}(?:[^{q}\\]|\\[\s\S]|{q}(?!{q}{q}))*\Z)(?:", 1).replace(")|(?P<x>", "))|(?P<x>", 1)
+    if lang in _OPENINGS:
+        p = p.replace("(?P<x>", f"(?P<x>{_OPENINGS[lang]}|", 1)
+    if lang == "csharp":
+        p = p.replace(r'(?:[^\"]|\"\")*\"', r'(?:[^\"]|\"\")*+\"', 1)
+    return re.compile(p, re.M)
+
+
+def _opened(piece: str, lang: str) -> str:
+    """The state that an opening without its end leaves; empty if the language has none."""
+    if lang == "cpp" and piece[0] == "R":
+        return "r"
+    if lang == "rust" and (m := re.match(r'b?r(\#*)"', piece)):
+        return "h" + m[1]
+    if lang == "csharp" and re.match(r'\$?@\$?"', piece):
+        return "v"
+    if lang == "ruby" and piece[0] == "=":
+        return "b"
+    piece = re.sub(r"^[A-Za-z@$]+(?=[\"'`])", "", piece)
+    kind = next((_OPENED[q] for q in ('"""', "'''", "/*", "<!", "`", '"', "'") if piece.startswith(q)), "")
+    return _nested(piece[2:]) if kind == "c" and lang in NESTED else kind if kind in _base(lang) else ""
+
+
+def _nested(rest: str) -> str:
+    return "cc" if "/*" in re.sub(rf"/\*{_INNER}", "", rest) else "c"
+
+
+def _leave(text: str, lang: str, state: str) -> tuple[str, int]:
+    """(state, where the string or comment ends) of a chunk that begins inside one."""
+    at = 0
+    if state[0] == "h":
+        at = text.find('"' + state[1:])
+        return ("", at + len(state)) if at >= 0 else (state, len(text))
+    if state == "cc":
+        m = re.match(_INNER, text)
+        if not m:
+            return state, len(text)
+        at, state = m.end(), "c"
+    m = re.compile(_base(lang)[state], re.M).match(text, at)
+    if m:
+        return "", m.end()
+    return _nested(text[at:]) if state == "c" and lang in NESTED else state, len(text)
+
+
 def scan(text: str, lang: str, state: str) -> tuple[str, str, list[tuple[str, int, int]]]:
-    """Lex a chunk from ``state``: (state at the end, unmatched brackets or ``!`` + reason, tokens)."""
+    """Lex a chunk from ``state``: (state at the end, unmatched brackets or ``!`` + reason, tokens).
+
+    A string or comment that the chunk begins or ends in is a token, too.
+    """
     at, left, toks = 0, [], []
     if state:
-        m = re.compile(_base(lang)[state]).match(text)
-        if not m:
+        kind = "c" if state in _COMMENTS else "s"
+        state, at = _leave(text, lang, state)
+        toks.append((kind, 0, at))
+        if state:
             return state, "", toks
-        at = m.end()
-    for m in pattern(lang).finditer(text, at):
-        k = m.lastgroup
+    for m in _lexer(lang).finditer(text, at):
+        k = m.lastgroup if m.lastgroup != "h" else "s"
         if k in "wn":
             if k == "n":
                 toks.append((k, m.start(), m.end()))
             continue
         if k == "x":
-            opened = re.sub(r"^[A-Za-z@$]+(?=[\"'`])", "", m[0])
-            kind = next((_OPENED[q] for q in ('"""', "'''", "/*", "<!", "`", '"', "'") if opened.startswith(q)), "")
-            if kind in _base(lang):
+            kind = _opened(m[0], lang)
+            if kind:
+                toks.append(("c" if kind in _COMMENTS else "s", m.start(), m.end()))
                 return kind, "".join(left), toks  # goes on in the next chunk
+            opened = re.sub(r"^[A-Za-z@$]+(?=[\"'`])", "", m[0])
             if not (lang == "rust" and opened[0] == "'" or lang in ("c", "cpp") and opened[0] == "'" and toks and toks[-1][0] == "d"):
                 return "", f"!quote{m.start()}", toks
             continue
@@ -139,34 +212,75 @@ def compose(a: str, b: str) -> str:
     return "".join(left)
 
 
-def local_errors(text: str, lang: str, toks: list[tuple[str, int, int]], first: bool) -> str:
-    """The first rule that a statement of the chunk breaks, or an empty string."""
+_RESET = ("go", "kotlin", "swift", "ruby", "javascript", "typescript", "python")
+
+
+def _signs(lang: str, two: str) -> bool:
+    """Whether two neighbouring signs can't stand so."""
+    return two in ("(,", ",)", ",,", "{%", "%}", "[,", "=;", "=)", ",;", "(;", "+;", "*;", "/)", "%)", "*)", "({,", ".)", ".;", "(=", ",]", ",}") and not (
+        two == ",)" and lang in ("go", "rust", "python", "kotlin", "javascript", "typescript", "swift", "php", "ruby", "dart", "gradle")
+        or two in (",]", ",}")
+        or two in (",,", "[,") and lang in ("javascript", "typescript", "csharp", "rust")
+        or two in ("(;", "*)", "=)", "(=", "%)", "/)", ".)", "+;", "*;") and (two == "(;" or lang in ("c", "cpp", "swift", "rust", "kotlin", "java", "php", "javascript", "typescript") and two in ("*)", ".)", "+;", "(=", "=)"))
+        or two == "%}" and lang == "ruby"
+    )
+
+
+def seam(lang: str, tail: str, lead: str) -> str:
+    """The rule that the last token of a chunk and the first one of the next break, or an empty string."""
+    if tail == "d" and lead == "i ":
+        return "operand"
+    if tail[:1] == lead[:1] == "p":
+        return "escape" if tail + lead == "p&p;" else "signs" + tail[1:] + lead[1:] if _signs(lang, tail[1:] + lead[1:]) else ""
+    return ""
+
+
+def local_map(text: str, lang: str, toks: list[tuple[str, int, int]], first: bool, enter: str = "") -> dict:
+    """What the local grammars say of a chunk.
+
+    local: the first rule that a statement breaks, or an empty string; depth:
+    brackets opened less closed; heads: the depths from the chunk's start at
+    which a line's head can't stand at the top of a file; lead, tail: first and
+    last token as :func:`seam` wants them, empty if there is none; seen: PHP's
+    opening.  On the line where a comment of an earlier chunk ends, rules that
+    must know whether the comment began its line are left out.
+    """
+    out = {"local": "", "depth": 0, "heads": [], "lead": "", "tail": "", "seen": lang != "php" or bool(re.search(r"<\?(php|=)", text))}
+    out["local"] = _rules(text, lang, toks, first, enter, out)
+    return out
+
+
+def _rules(text: str, lang: str, toks: list[tuple[str, int, int]], first: bool, enter: str, out: dict) -> str:
     words = _WORDS.get(lang, frozenset())
     for m in re.finditer(r"^[ \t]*([<>|=@+d-][^\n]*)$", text, re.M):
         if _MARK.match(m[1]) and not _inside(toks, text, m.start(1)):
             return "marker"
     if lang not in CODE:
         return ""
-    if lang == "php" and first and not re.search(r"<\?(php|=)", text):
-        return "language"
     if lang not in ("python", "php") and first and re.match(r"\s*<(!doctype|html|\?xml)", text, re.I):
         return "language"
-    depth, run, previous, line_start, args = 0, 0, ("n", ""), True, []
-    names_in_line = 0
+    depth, run, previous, line_start = 0, 0, ("n", ""), True
+    sure, heads = enter not in _COMMENTS, set()
+    if enter and sure:
+        previous, line_start, out["lead"], out["tail"], toks = ("s", ""), False, "-", "-", toks[1:]
     for k, a, b in toks:
         if k == "n":
-            line_start, run = True, 0
-            names_in_line = 0
-            if lang in ("go", "kotlin", "swift", "ruby", "javascript", "typescript", "python"):
-                previous = ("n", "")
+            line_start, sure, run = True, True, 0
+            if lang in _RESET:
+                previous, out["tail"] = ("n", ""), "-"
+                out["lead"] = out["lead"] or "-"
             continue
         if k == "c":
             continue
         piece = text[a:b]
         pk, pp = previous
-        if line_start and depth == 0 and k in "ip" and lang in _HEADS and first is not None:
+        if not out["lead"]:
+            out["lead"] = "p" + piece if k == "p" else "i " if k == "i" and piece not in words and text[a - 1 : a] == " " else "-"
+        out["tail"] = "p" + piece if k == "p" else "d" if k == "d" else "-"
+        if line_start and sure and depth <= 0 and depth not in heads and k in "ip" and lang in _HEADS:
             if not re.match(_HEADS[lang], text[a : a + 40]):
-                return "head"
+                heads.add(depth)
+                out["heads"].append(depth)
         if k == "i":
             run = run + 1 if piece not in words else 0
             if run >= 3 and lang not in ("ruby", "c", "cpp", "swift") or run >= 4:
@@ -187,16 +301,9 @@ def local_errors(text: str, lang: str, toks: list[tuple[str, int, int]], first:
                 return "operand"
             if k == "p":
                 depth += (piece in "([{") - (piece in ")]}")
-                if pk == "p":
-                    two = pp + piece
-                    if two in ("(,", ",)", ",,", "{%", "%}", "[,", "=;", "=)", ",;", "(;", "+;", "*;", "/)", "%)", "*)", "({,", ".)", ".;", "(=", ",]", ",}") and not (
-                        two == ",)" and lang in ("go", "rust", "python", "kotlin", "javascript", "typescript", "swift", "php", "ruby", "dart", "gradle")
-                        or two in (",]", ",}")
-                        or two in (",,", "[,") and lang in ("javascript", "typescript", "csharp", "rust")
-                        or two in ("(;", "*)", "=)", "(=", "%)", "/)", ".)", "+;", "*;") and (two == "(;" or lang in ("c", "cpp", "swift", "rust", "kotlin", "java", "php", "javascript", "typescript") and two in ("*)", ".)", "+;", "(=", "=)"))
-                        or two == "%}" and lang == "ruby"
-                    ):
-                        return "signs" + two
+                out["depth"] = depth
+                if pk == "p" and _signs(lang, pp + piece):
+                    return "signs" + pp + piece
                 if piece == ";" and pk == "p" and pp == "&":
                     return "escape"
             if k == "p" and piece == ";" and pk == "i" and pp in ("quot", "amp", "lt", "gt", "apos", "nbsp") and text[a - len(pp) - 1] == "&":
@@ -329,63 +436,77 @@ def _flow(left: str, line: str) -> str:
     return left
 
 
-def chunks_of(text: str) -> list[str]:
-    """Pieces of about CHUNK characters that end with a line feed."""
-    if len(text) <= CHUNK:
+def chunks_of(text: str, size: int | None = None) -> list[str]:
+    """Pieces of about CHUNK characters that end with a line feed; one behind a backslash goes on with its string."""
+    size = size or CHUNK
+    if len(text) <= size:
         return [text]
-    out, at = [], 0
+    out, at, line = [], 0, re.compile(r"(?<!\\)(?<!\\\r)\n")
     while at < len(text):
-        end = text.find("\n", min(at + CHUNK, len(text)))
-        end = len(text) if end < 0 else end + 1
+        m = line.search(text, min(at + size, len(text)))
+        end = m.end() if m else len(text)
         out.append(text[at:end])
         at = end
     return out
 
 
-MAPS = "array<struct<enter:string,exit:string,left:string,local:string,ends:int>>"
+MAPS = "array<struct<enter:string,exit:string,left:string,local:string,ends:int,depth:int,heads:array<int>,lead:string,tail:string,seen:boolean>>"
+
+
+def chunk_map(text: str, lang: str, first: bool) -> list[dict]:
+    """The map of a chunk, one entry per state that it may begin in."""
+    entries = []
+    for state in [""] if first else entries_of(text, lang):
+        exit_, left, toks = scan(text, lang, state)
+        # Brackets that don't fit decide already; the rest of the chunk was not lexed then.
+        rules = local_map(text, lang, [] if left.startswith("!") else toks, first, state) | ({"local": ""} if left.startswith("!") else {})
+        entries.append({"enter": state, "exit": exit_, "left": left, "ends": ruby_blocks(text, toks) if lang == "ruby" else 0, **rules})
+    return entries
 
 
 def chunk_maps(files: DataFrame) -> DataFrame:
     """(file_id, repo, language, text) to one row per chunk: file_id, repo, language, chunk_no, n_chunks, map."""
+    size = CHUNK
 
     @F.udf("array<string>")
     def cut(t: str):
-        return chunks_of(t)
+        return chunks_of(t, size)
 
-    pieces = F.when(F.length("text") <= CHUNK, F.array("text")).otherwise(cut("text"))
-    rows = files.select("file_id", "repo", "language", F.posexplode(pieces).alias("chunk_no", "chunk"), (F.floor(F.length("text") / CHUNK) + 1).cast("int").alias("n_chunks"))
+    pieces = F.when(F.length("text") <= size, F.array("text")).otherwise(cut("text"))
+    rows = files.select("file_id", "repo", "language", F.posexplode(pieces).alias("chunk_no", "chunk"), (F.floor(F.length("text") / size) + 1).cast("int").alias("n_chunks"))
 
     @F.pandas_udf(MAPS)
     def maps(chunk: pd.Series, lang: pd.Series, no: pd.Series) -> pd.Series:
-        out = []
-        for t, language, n in zip(chunk, lang, no):
-            entries = []
-            for state in [""] if n == 0 else ["", *_base(language)]:
-                exit_, left, toks = scan(t, language, state)
-                bad = "" if left.startswith("!") else local_errors(t, language, toks, n == 0)
-                ends = ruby_blocks(t, toks) if language == "ruby" else 0
-                entries.append({"enter": state, "exit": exit_, "left": left, "local": bad, "ends": ends})
-            out.append(entries)
-        return pd.Series(out)
+        return pd.Series([chunk_map(t, language, n == 0) for t, language, n in zip(chunk, lang, no)])
 
     return rows.withColumn("map", maps("chunk", "language", "chunk_no")).drop("chunk")
 
 
-def _fold(parts: pd.Series) -> pd.Series:
+def join_maps(a: list[dict], b: list[dict], lang: str) -> list[dict]:
+    """The map of two neighbours.  A state without an entry in one of them goes through it."""
+    blank = {"left": "", "local": "", "ends": 0, "depth": 0, "heads": [], "lead": "", "tail": "", "seen": False}
+    known = {e["enter"] for e in a}
+    step, out = {e["enter"]: e for e in b}, []
+    whole = "" in known and len(known) == 1  # the file's beginning has no other state
+    for e in [*a, *([] if whole else [{"enter": s, "exit": s, **blank} for s in step if s not in known])]:
+        n = step.get(e["exit"])
+        if n is not None:
+            local = e["local"] or seam(lang, e["tail"], n["lead"]) or n["local"]
+            heads = sorted({*e["heads"], *(e["depth"] + h for h in n["heads"] if e["depth"] + h <= 0)})
+            e = {
+                "enter": e["enter"], "exit": n["exit"], "left": compose(e["left"], n["left"]), "local": local, "ends": e["ends"] + n["ends"],
+                "depth": e["depth"] + n["depth"], "heads": heads, "lead": e["lead"] or n["lead"], "tail": n["tail"] or e["tail"], "seen": e["seen"] or n["seen"],
+            }
+        out.append(e)
+    return out
+
+
+def _fold(parts: pd.Series, lang: pd.Series) -> pd.Series:
     """Compose the maps of neighbouring chunks, ordered by their number."""
     out = []
-    for part in parts:
-        done: list[dict] | None = None
-        for one in sorted(part, key=lambda x: x["no"]):
-            step = {e["enter"]: e for e in one["map"]}
-            if done is None:
-                done = [dict(e) for e in one["map"]]
-                continue
-            for e in done:
-                n = step.get(e["exit"])
-                if n is not None:
-                    e.update(exit=n["exit"], left=compose(e["left"], n["left"]), local=e["local"] or n["local"], ends=e["ends"] + n["ends"])
-        out.append(done or [])
+    for part, language in zip(parts, lang):
+        maps = [list(x["map"]) for x in sorted(part, key=lambda x: x["no"])]
+        out.append(reduce(lambda a, b: join_maps(a, b, language), maps) if maps else [])
     return pd.Series(out)
 
 
@@ -395,9 +516,9 @@ def reduce_maps(chunks: DataFrame) -> DataFrame:
     many = chunks.where("n_chunks > 1").withColumn("block", F.floor(F.col("chunk_no") / BLOCK))
     _reduced = F.pandas_udf(_fold, MAPS)
     part = F.collect_list(F.struct(F.col("chunk_no").alias("no"), "map"))
-    blocks = many.groupBy("file_id", "repo", "language", "block").agg(part.alias("p")).withColumn("map", _reduced("p")).drop("p")
+    blocks = many.groupBy("file_id", "repo", "language", "block").agg(part.alias("p")).withColumn("map", _reduced("p", "language")).drop("p")
     whole = blocks.groupBy("file_id", "repo", "language").agg(F.collect_list(F.struct(F.col("block").cast("int").alias("no"), "map")).alias("p"))
-    return one.unionByName(whole.select("file_id", "repo", "language", _reduced("p").alias("map")))
+    return one.unionByName(whole.select("file_id", "repo", "language", _reduced("p", "language").alias("map")))
 
 
 def prepared(files: DataFrame) -> DataFrame:
@@ -421,6 +542,8 @@ def verdicts(files: DataFrame) -> DataFrame:
         .when(begin["exit"] != "", F.lit("open"))
         .when(begin["left"] != "", F.lit("brackets"))
         .when(begin["local"] != "", begin["local"])
+        .when(~begin["seen"], F.lit("language"))
+        .when(F.array_contains(begin["heads"], 0), F.lit("head"))
         .when(begin["ends"] != 0, F.lit("blocks"))
     )
 

@@ -151,6 +151,40 @@ def test_chunks_agree_with_the_whole(spark, monkeypatch):
         assert bool(state or left) == bad
 
 
+LONG = {  # valid, with statements that could not stand at the top of a file, and long strings and comments of every kind
+    "java": "package a;\n\nclass A {\n  int f() {\n    int x = f();\n    /* don't (\n <<<<<<< HEAD\n a b c d ( */\n    x = g(\n      1,\n      x);\n    String s = \"\"\"\n  a \"b ( c\n    \"\"\";\n    return x;\n  }\n}\n",
+    "go": "package a\n\nfunc f() int {\n\tx := g(\n\t\t1,\n\t)\n\ts := `a ( b\nit's \"(\n`\n\t/* don't (\n a b c d */\n\treturn x\n}\n",
+    "rust": "fn f() -> i32 {\n    let x = g(\n        1,\n    );\n    /* a /* it's (\n b */ (\n don't */\n    let s = r#\"a \" (\n it's\n\"#;\n    let t = \"a (\n b c d e\n\";\n    x\n}\n",
+    "csharp": "namespace A {\n  class B {\n    int F() {\n      int x = F();\n      var s = @\"a ( \"\"b\n it's ( c\n\";\n      /* don't (\n a b c d */\n      return x;\n    }\n  }\n}\n",
+    "cpp": "int f() {\n  int x = g();\n  auto s = R\"q(a \"b\n it's ( c \"(\n)q\";\n  /* don't (\n a b c d */\n  puts(\"a ( \\\n b\");\n  return x;\n}\n",
+    "c": "int f(void) {\n  int x = g();\n  /* don't (\n a b c d */\n  return x;\n}\n",
+    "javascript": "function f() {\n  const x = g(\n    1,\n  );\n  /* don't (\n a b c d */\n  return `a (\n it's \"b\n`;\n}\n",
+    "kotlin": "fun f(): Int {\n    val x = g()\n    /* don't ( /* b\n */ a b c d\n */\n    val s = \"\"\"a ( b\n it's\n\"\"\"\n    return x\n}\n",
+    "swift": "func f() -> Int {\n    let x = g()\n    /* don't ( /* b\n */ a b c d\n */\n    return x\n}\n",
+    "php": "<?php\nfunction f() {\n    $x = g();\n    /* don't (\n a b c d */\n    $s = \"a (\n it's\n\";\n    return $x;\n}\n",
+    "dart": "int f() {\n  var x = g();\n  /* don't (\n a b c d */\n  return x;\n}\n",
+    "ruby": "def f\n  x = g\n  x\nend\n\n=begin\nit's a long \"note (\n=end\n\ndef h\n  1\nend\n",
+    "python": "def f():\n    x = g(\n        1,\n    )\n    s = \"\"\"a ( b\nit's\n\"\"\"\n    return x\n",
+}
+LONG["typescript"], LONG["gradle"] = LONG["javascript"], LONG["c"].replace("int f(void)", "def f()").replace("int x", "def x").replace(";", "")
+
+
+def test_verdicts_do_not_depend_on_the_chunks(spark, monkeypatch):
+    wrong = {k: t + {"php": "}\n", "ruby": "end\n"}.get(k, ")\n") for k, t in LONG.items()}
+    wrong |= {f"java{i}": t for i, t in enumerate(("class A {\n  int f() { return 1; }\n}\n\nint x = f();\n", "class A {\n  int f() {\n    return g(1,\n      );\n  }\n}\n"))}
+    rows = [*LONG.items(), *wrong.items()]
+    files = spark.createDataFrame([(i, "r", None, t, k.rstrip("0123456789")) for i, (k, t) in enumerate(rows)], SRC)
+    for size in (64_000, 60, 25, 1):
+        monkeypatch.setattr(validity, "CHUNK", size)
+        monkeypatch.setattr(validity, "BLOCK", 3)
+        got = {r.file_id for r in validity.invalid_files(files).collect()}
+        assert (size, [rows[i][0] for i in sorted(got) if i < len(LONG)], [rows[i][0] for i in range(len(LONG), len(rows)) if i not in got]) == (size, [], [])
+    monkeypatch.undo()  # files of more than one chunk as they are cut by default
+    big = [("java", "package a;\n\nclass A {\n" + "  int f(int x) {\n    int y = f(x);\n    y = f(y);\n    return y;\n  }\n" * 2000 + "}\n"), ("php", "<p>a</p>\n" * 8000 + LONG["php"])]
+    assert min(len(t) for _k, t in big) > validity.CHUNK
+    assert validity.invalid_files(spark.createDataFrame([(i, "r", None, t, k) for i, (k, t) in enumerate(big)], SRC)).count() == 0
+
+
 def test_leaks_match_brute_force(spark):
     rng = np.random.default_rng(3)
     w = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 60, n))
