@@ -48,6 +48,9 @@ _CJK_RUN = re.compile(rf"[{_CJK}]+")
 _LATIN_MIX = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]")
 ROWS = "array<struct<piece:string,kind:int>>"
 WORD, TOKEN, PART, PAIR, TRIPLE, SIGN = range(6)
+# How many signs the forms of single signs and of pairs take under the chains, the last seven under those that repeat the mistake.
+LENGTHS = (2, 3, 4, 5, 6, 12, 13, 14, 15, 16, 17, 18)
+_HALF = re.compile(r"[｡-ﾟ]")
 _LITERAL = re.compile(r"([\"'`])�(?:\1|[ \t]*;?[ \t]*\r?$)", re.M)
 
 
@@ -70,22 +73,23 @@ def tokens_of(text: str) -> list[tuple[str, int]]:
         for run in _CJK_RUN.findall(token):
             out.update((run[i : i + 2], PAIR) for i in range(len(run) - 1))
             out.update((run[i : i + 3], TRIPLE) for i in range(len(run) - 2))
+            # A pair's form of more than three such signs has single bytes, half-width kana.
+            out.update((x, PART) for n in (4, 5, 6) for i in range(len(run) - n + 1) if _HALF.search(x := run[i : i + n]))
         rest = _CJK_RUN.sub("", token)
         if not rest.isascii():
             if sound(token):
                 out.add((token, WORD))
                 out.update((c, SIGN) for c in token if ord(c) > 127)
                 continue
-            if len(token) <= 80:
-                out.add((token, TOKEN))
+            out.add((token, TOKEN))
             for run in re.findall(r"[^\x00-\x7f]+", token):
-                for n in (2, 3, 4, 6):
-                    out.update((run[i : i + n], PART) for i in range(len(run) - n + 1))
+                for n in LENGTHS:
+                    out.update((x, PART) for i in range(len(run) - n + 1) if (x := run[i : i + n]).strip("�"))
     return sorted(out)
 
 
-def _decode(data: bytes, codec: str) -> str:
-    if codec == "cp1252":  # the five bytes without a sign stay control characters, as most programs do
+def _decode(data: bytes, codec: str, strict: bool = False) -> str:
+    if codec == "cp1252" and not strict:  # the five bytes without a sign stay control characters, as most programs do
         return "".join(bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in data)
     if codec == "cp1250":
         return "".join(bytes([b]).decode("cp1250", "ignore") or chr(b) for b in data)
@@ -98,13 +102,16 @@ def _encode(text: str, codec: str) -> bytes:
     return text.encode(codec)
 
 
-def garble(text: str, chain: int) -> str | None:
-    """The form a text takes under a chain; None if it can't be encoded so or doesn't change."""
+def garble(text: str, chain: int, strict: bool = False) -> str | None:
+    """The form a text takes under a chain; None if it can't be encoded so or doesn't change.
+
+    strict: bytes without a sign in cp1252 become replacement signs.
+    """
     first, second = CHAINS[chain]
     try:
         if first == "utf-8+utf-8":
-            return _decode(_decode(text.encode(), second).encode(), second)
-        form = _decode(_encode(text, first), second)
+            return _decode(_decode(text.encode(), second, strict).encode(), second, strict)
+        form = _decode(_encode(text, first), second, strict)
     except (UnicodeError, ValueError):
         return None
     return form if form != text else None
@@ -148,11 +155,10 @@ def forms_of(vocabulary: DataFrame) -> DataFrame:
                 # A single sign is told by its form only where that form takes two signs at least.
                 if k == SIGN and not (first == "utf-8" and second in ("cp1252", "latin-1", "cp437")):
                     continue
-                form = garble(p, c)
-                if form and not form.isascii() and len(form) > 1 and (k != SIGN or len(form) in (2, 3)) and form.strip("�"):
-                    if k == PAIR and ("�" in form or len(form) not in (3, 4, 6)):
-                        continue
-                    forms.append({"form": form, "chain": c})
+                made = [garble(p, c), garble(p, c, True) if second == "cp1252" and k != SIGN else None]
+                for form in dict.fromkeys(made):
+                    if form and not form.isascii() and len(form) > 1 and (k != SIGN or len(form) in (2, 3)) and form.strip("�"):
+                        forms.append({"form": form, "chain": c})
             out.append(forms)
         return pd.Series(out)
 
@@ -172,7 +178,9 @@ def matches(rows: DataFrame) -> DataFrame:
     wrong = counts.where(F.col("kind").isin(TOKEN, PART, TRIPLE)).groupBy("piece").agg(F.max("files").alias("form_files"))
     hits = wrong.join(forms_of(clean), wrong["piece"] == F.col("form")).where("files > form_files or (not short and files >= form_files)")
     # Among chains that give the same form the most frequent original wins; ties go to the first chain.
-    best = hits.groupBy("form").agg(F.max_by(F.struct("original", "chain", "short"), F.struct("files", -F.col("chain"))).alias("b")).select("form", "b.*")
+    best = hits.groupBy("form").agg(F.max_by(F.struct("original", "chain", "short"), F.struct("files", -F.col("chain"))).alias("b"), (F.min("original") == F.max("original")).alias("one"))
+    # A form that lost signs tells its original only if no other has it.
+    best = best.where(F.col("one") | ~F.contains(F.col("form"), F.lit("�"))).select("form", "b.*")
     suspects = rows.where(F.col("kind").isin(TOKEN, PART, TRIPLE)).select("file_id", "piece").distinct()
     found = suspects.join(best, suspects["piece"] == best["form"]).select("file_id", "form", "original", "chain", "short")
     # Forms of two Chinese signs under one chain may be chance; two different ones in a file are not.
@@ -196,8 +204,40 @@ def garbled_files(files: DataFrame) -> DataFrame:
     return matches(rows).select("file_id").unionByName(lost(files)).distinct()
 
 
+def _done(run: str) -> bool:
+    return sound(run) or bool(_CJK_RUN.fullmatch(run))
+
+
+def _partly(run: str, chain: int) -> str | None:
+    """Undo a UTF-8 chain where some signs are lost; each of them leaves a replacement sign."""
+    first, second = CHAINS[chain]
+    if first != "utf-8" or "�" not in run:
+        return None
+    try:
+        data = b"".join(b"\xff" if c == "�" else _encode(c, second) for c in run)
+    except (UnicodeError, ValueError):
+        return None
+    out = re.sub(r"�+", "�", data.decode("utf-8", "replace"))
+    return out if sum(1 for c in out if c > "\x7f" and c != "�") > out.count("�") else None
+
+
+def undone(run: str, chain: int) -> str | None:
+    """A stretch put back under a chain; mistakes of UTF-8 are undone as often as they were made."""
+    out, (first, second) = restore(run, chain), CHAINS[chain]
+    if not first.startswith("utf-8") or second == "ascii":
+        return out
+    one = CHAINS.index(("utf-8", second))
+    out = out or restore(run, one) or _partly(run, one)
+    while out is not None and not _done(out):
+        more = restore(out, one) or _partly(out, one)
+        if more is None or len(more) >= len(out):
+            break
+        out = more
+    return out
+
+
 def repair(text: str, pairs: list[tuple[str, str, int]]) -> str:
-    """Put originals back: whole stretches by the chains seen in the file, then single forms."""
+    """Put originals back: forms with lost signs, then whole stretches by the chains seen in the file, then single forms."""
     votes: dict[int, int] = {}
     for form, _o, chain in pairs:
         votes[chain] = votes.get(chain, 0) + len(form)
@@ -208,17 +248,26 @@ def repair(text: str, pairs: list[tuple[str, str, int]]) -> str:
         run = m[0]
         if not sound(run):
             for c in chains:
-                out = restore(run, c)
+                out = undone(run, c)
                 if out is not None and out != run:
                     return out
         return run
 
-    fixed = re.sub(r"[^\x00-\x7f]+", whole, text)
+    def put(text: str, left: list[str]) -> str:
+        left = [f for f in sorted(left, key=len, reverse=True) if f in text and not sound(f)]
+        return re.sub("|".join(map(re.escape, left)), lambda m: forms[m[0]], text) if left else text
+
+    def run_of(m: re.Match) -> str:
+        # Signs that are lost come back only from the forms that hold them.
+        known = put(m[0], lossy) if "�" in m[0] or "ï¿½" in m[0] else m[0]
+        if known == m[0]:
+            return whole(m)
+        return re.sub(rf"[^\x00-\x7f{_CJK}]+", whole, known)
+
+    lossy = [f for f in forms if ("�" in f or "ï¿½" in f) and not _CJK_RUN.search(f)]
+    fixed = re.sub(r"[^\x00-\x7f]+", run_of, text)
     # What is left are stretches that lost a sign or stand next to sound ones.
-    left = [f for f in sorted(forms, key=len, reverse=True) if f in fixed and not sound(f)]
-    if left:
-        fixed = re.sub("|".join(map(re.escape, left)), lambda m: forms[m[0]], fixed)
-    return fixed
+    return put(fixed, list(forms))
 
 
 def restored(files: DataFrame) -> DataFrame:

@@ -109,6 +109,25 @@ def test_garbled_files(spark):
     assert encoding.garbled_files(files.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text", ["# 扫描器跳过已经过期的任务记录\n", "# このファイルをすべて読み込みます\n"])
+@pytest.mark.parametrize("chain", [("utf-8+utf-8", "cp1252"), ("utf-8+utf-8", "latin-1"), ("utf-8", "shift_jis"), ("utf-8", "cp1252")])
+def test_pairs_of_any_form_length(spark, text, chain):
+    bad = encoding.garble(text, encoding.CHAINS.index(chain))
+    files = spark.createDataFrame([(i, "r", "a.py", text, None) for i in range(4)] + [(9, "r", "b.py", bad, None)], SRC)
+    assert {r.file_id for r in encoding.garbled_files(files).collect()} == {9}
+    if "�" not in bad:
+        assert [(r.file_id, r.text) for r in encoding.restored(files).collect()] == [(9, text)]
+
+
+def test_twice_garbled_with_lost_signs(spark):
+    text = "# 每位审阅者读取最短的依赖链\n"
+    bad = encoding.garble(text, encoding.CHAINS.index(("utf-8+utf-8", "cp1252")), True)
+    assert "ï¿½" in bad
+    files = spark.createDataFrame([(i, "r", "a.py", text, None) for i in range(4)] + [(9, "r", "b.py", bad, None)], SRC)
+    got = encoding.restored(files).collect()
+    assert [r.file_id for r in got] == [9] and "审阅者读" in got[0].text and "每位" in got[0].text and "Ã" not in got[0].text
+
+
 BROKEN = {
     "a.js": ["function f(a) {\n  return a;\n", "const a = (1 + 2;\n", 'log("x);\n', "<<<<<<< HEAD\nlet a = 1;\n=======\nlet a = 2;\n>>>>>>> x\n", "The scanner reads every file again.\n", "f(&quot;x&quot;);\n"],
     "a.java": ["class A {\n  int f(,int a) { return a; }\n}\n", "def f(a):\n    return a\n"],
