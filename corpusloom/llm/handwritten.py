@@ -32,7 +32,7 @@ from ..functions.classify import language_of, name_of, suffix_of
 from ..sources.tables import spread, written
 from .lexer import CODE, lex
 
-LAYOUT = "expansion double, longest int, lines int, uniform double, counted double, data double, tokens int, head string, print long"
+LAYOUT = "expansion double, longest int, lines int, uniform double, counted double, data double, tokens int, tool boolean, library string, print long"
 
 # Folders in which package managers and habit keep code of others.
 VENDOR_DIRS = "vendor|third_party|third-party|thirdparty|node_modules|external|deps|bower_components|Pods|Carthage|site-packages"
@@ -47,6 +47,8 @@ LIBRARY_NOTICE = r"(?im)^\W*([a-z][\w.-]*) v?\d+\.\d+(\.\d+)?\b[^\n]*\n\W*(\(c\)
 LOCK_NAMES = r"(?i)^(package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|pnpm-lock\.yaml|cargo\.lock|poetry\.lock|pdm\.lock|uv\.lock|pipfile\.lock|gemfile\.lock|composer\.lock|go\.sum|podfile\.lock|packages\.lock\.json|pubspec\.lock|mix\.lock|flake\.lock|package\.resolved)$"
 
 
+# ASCII classes, as in Spark's own regular expressions.
+_TOOL, _LIBRARY = re.compile(TOOL_NOTICE, re.ASCII), re.compile(LIBRARY_NOTICE, re.ASCII)
 _DATA_LINE = re.compile(r"[\[({]*(?:[sd]?[:=]|=>)?(?:[\[({+-]*[sd][\])}]*[,:;]*)+[\])}]*[,;+.]*")
 
 
@@ -84,8 +86,10 @@ def measure(text: str, lang: str) -> tuple:
     run = 0
     while run in numbers:
         run += 1
+    notices = "\n".join(head)
+    library = _LIBRARY.search(notices)
     literal = sum(1 for x in data if x and _DATA_LINE.fullmatch("".join(x)))
-    return (canonical / filled, max(map(len, text.split("\n"))), filled, top / n if n else 0.0, min(1.0, 4 * run / filled), literal / filled, len(code), "\n".join(head)[:2000], xxhash.xxh3_64_intdigest(" ".join(code)) - 2**63)
+    return (canonical / filled, max(map(len, text.split("\n"))), filled, top / n if n else 0.0, min(1.0, 4 * run / filled), literal / filled, len(code), bool(_TOOL.search(notices)), library[1].lower() if library else "", xxhash.xxh3_64_intdigest(" ".join(code)) - 2**63)
 
 
 def layouts(files: DataFrame, text: str, language: str) -> DataFrame:
@@ -108,8 +112,7 @@ def third_party(measured: DataFrame, path: Column, repo: Column, least_tokens: i
     """
     vendored = path.rlike(rf"(^|/)({VENDOR_DIRS})/")
     # A notice that names the repo itself is the project's own.
-    named = F.lower(F.regexp_extract("head", LIBRARY_NOTICE, 1))
-    notice = (named != "") & ~F.contains(F.lower(F.coalesce(repo, F.lit(""))), named)
+    notice = (F.col("library") != "") & ~F.contains(F.lower(F.coalesce(repo, F.lit(""))), F.col("library"))
     return (
         measured.where(F.col("tokens") >= least_tokens)
         .groupBy("print")
@@ -141,7 +144,7 @@ def not_handwritten(files: DataFrame, id_col: str = "input_id", name: str = "nam
     reason = (
         F.when(F.col("_base").rlike(LOCK_NAMES), "lock")
         .when(code & ((F.col("expansion") >= 3) & (F.col("longest") >= 200) | (F.col("longest") > 1500) & (F.col("expansion") >= 1.5)), "minified")
-        .when(F.col("head").rlike(TOOL_NOTICE), "generated")
+        .when(F.col("tool"), "generated")
         .when(code & long_enough & ((F.col("uniform") >= 0.8) | (F.col("counted") >= 0.9) & (F.col("uniform") >= 0.6)), "generated")
         .when(table & long_enough & (F.col("data") >= 0.85), "data")
     )

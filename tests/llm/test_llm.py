@@ -26,6 +26,14 @@ def test_not_handwritten(spark):
     assert handwritten.not_handwritten(up.limit(0)).count() == 0
 
 
+def test_notices_below_a_long_licence(spark):
+    licence = "".join(f"// Line {i} of a licence text that goes on and on.\n" for i in range(90))
+    body = "\n".join(f"int f{c}(int a) {{\n  return a * {i} + b;\n}}" for i, c in enumerate("abcdefgh"))
+    rows = [(1, "x/a", "a.go", licence + "// Code generated by t. DO NOT EDIT.\nx := 1\n"), (2, "x/a", "l.c", licence + "// quill 1.2.3\n// (c) the quill contributors, MIT licence\n\n" + body), (3, "x/a", "m.c", body), (4, "x/a", "b.go", licence + "x := 1\n")]
+    got = {r.input_id: r.reason for r in handwritten.not_handwritten(spark.createDataFrame(rows, UP)).collect()}
+    assert got == {1: "generated", 2: "vendored", 3: "vendored"}
+
+
 @pytest.mark.parametrize(
     ("text", "lang", "lines"),
     [
