@@ -30,6 +30,7 @@ _STARTS = re.compile(r"^\s*(?:def|class|module|begin|case|for|while|until|if|unl
 _CALLS = r"if|for|while|switch|catch|return|else|do|try|new|throw|await|yield|typeof|sizeof|using|lock|foreach|elif|match|when|function|super|this|synchronized|delete|print|assert|with|case|in|is|as|not|and|or|def|fun|func|fn|let|const|var|val|echo|guard|repeat|defer|unless|until|loop"
 _MODS = r"(?:(?:public|private|protected|internal|static|final|abstract|override|virtual|async|readonly|export|default|synchronized|native|sealed|unsafe|extern|partial|new|inline|constexpr|const|friend|explicit|volatile|declare|get|set|mutating|open)\s+)*"
 _TYPE = r"[A-Za-z_][\w.:]*(?:\s*<[^()=;]*>)?(?:\[\])*[?]?"
+_ARGS = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
 # Name of the function that a code row heads, by language; the first group that matches holds it.
 HEADERS = {
     "python": r"^(?:async\s+)?def\s+(\w+)",
@@ -39,10 +40,10 @@ HEADERS = {
     "kotlin": r"^(?:[\w@()]+\s+)*?fun\s+(?:<[^>]*>\s*)?(?:[\w<>?,]+\.)?(\w+)\s*\(",
     "swift": r"^(?:@\w+(?:\([^)]*\))?\s+)*(?:\w+(?:\(set\))?\s+)*?(?:func\s+([\w+*/=<>!-]+)|(init)[?!]?\s*[(<])",
     "php": r"^(?:\w+\s+)*?function\s+&?\s*(\w+)",
-    "javascript": rf"^{_MODS}(?:function\s*\*?\s*([\w$]+)\s*[(<]|(?:const|let|var)\s+([\w$]+)\s*(?::[^=]+)?=\s*(?:async\s+)?(?:function\b|(?:\([^)]*\)|[\w$]+)\s*(?::[^=]+)?=>)|(?!(?:{_CALLS})\b)[*#]?([\w$]+)\s*(?:<[^>]*>)?\([^)]*\)\s*(?::[^=;]+)?$)",
-    "java": rf"^(?:@\w+(?:\([^)]*\))?\s+)*{_MODS}(?:<[^>]*>\s*)?(?:(?!(?:{_CALLS})\b){_TYPE}\s+)(?!(?:{_CALLS})\b)(\w+)\s*\([^;=]*$|^(?:public|private|protected)\s+(\w+)\s*\([^;=]*$",
-    "csharp": rf"^(?:\[[^\]]*\]\s*)*{_MODS}(?:(?!(?:{_CALLS})\b){_TYPE}\s+)(?!(?:{_CALLS})\b)(\w+)\s*(?:<[^>]*>)?\([^;=]*(?:=>.*)?$|^(?:public|private|protected|internal)\s+(\w+)\s*\([^;=]*$",
-    "c": rf"^(?!typedef\b|(?:{_CALLS})\b)(?:[A-Za-z_][\w:<>,]*[\s*&]+)+(?!(?:{_CALLS})\b)((?:\w+::)*~?\w+)\s*\([^;=]*$",
+    "javascript": rf"^{_MODS}(?:function\s*\*?\s*([\w$]+)\s*[(<]|(?:const|let|var)\s+([\w$]+)\s*(?::[^=]+)?=\s*(?:async\s+)?(?:function\b|(?:{_ARGS}|[\w$]+)\s*(?::[^=]+)?=>)|(?!(?:{_CALLS})\b)[*#]?([\w$]+)\s*(?:<[^>]*>)?{_ARGS}\s*(?::[^=;]+)?$)",
+    "java": rf"^(?:@\w+(?:\([^)]*\))?\s+)*{_MODS}(?:<[^>]*>\s*)?(?:(?!(?:{_CALLS})\b){_TYPE}\s+)(?!(?:{_CALLS})\b)(\w+)\s*\([^;]*$|^(?:public|private|protected)\s+(\w+)\s*\([^;]*$",
+    "csharp": rf"^(?:\[[^\]]*\]\s*)*{_MODS}(?:(?!(?:{_CALLS})\b){_TYPE}\s+)(?!(?:{_CALLS})\b)(\w+)\s*(?:<[^>]*>)?\([^;]*(?:=>.*)?$|^(?:public|private|protected|internal)\s+(\w+)\s*\([^;]*$",
+    "c": rf"^(?!typedef\b|(?:{_CALLS})\b)(?:[A-Za-z_][\w:<>,]*[\s*&]+)+(?!(?:{_CALLS})\b)((?:\w+::)*~?\w+)\s*\([^;]*$",
 }
 HEADERS["typescript"] = HEADERS["javascript"]
 HEADERS["cpp"] = HEADERS["c"]
@@ -50,6 +51,24 @@ HEADERS["dart"] = HEADERS["java"]
 HEADERS["gradle"] = HEADERS["kotlin"]
 
 
+def parameter_lists(text: str, lang: str, toks: list[tuple[str, int, int]]) -> dict[int, int]:
+    """Where the parentheses of JavaScript's and TypeScript's function heads open, and where each closes."""
+    if lang not in ("javascript", "typescript"):
+        return {}
+    out, stack, before = {}, [], ""
+    seen = [(text[a:b], a) for k, a, b in toks if k not in "wnc"]
+    for i, (piece, at) in enumerate(seen):
+        if piece == "(":
+            stack.append((at, before))
+        elif piece == ")" and stack:
+            start, word = stack.pop()
+            after = "".join(p for p, _ in seen[i + 1 : i + 3])
+            if word not in ("if", "for", "while", "switch", "with") and (after[:1] == "{" or after == "=>" or after[:1] == ":" and lang == "typescript"):
+                out[start] = at
+        before = piece
+    return out
+
+
 def rows_of(text: str, lang: str) -> list[tuple]:
     """Token rows (ord, line, last line, kind, text, step) of one file.
 
@@ -59,6 +78,8 @@ def rows_of(text: str, lang: str) -> list[tuple]:
     """
     out, line, code, code_line, fresh, nested = [], 1, [], 0, True, 0
     indents, blocks = [0], []
+    toks = lex(text, lang)
+    script, heads, held, outer = lang in ("javascript", "typescript"), parameter_lists(text, lang, toks), -1, []
 
     def add(kind, at, last, piece, step=0):
         out.append((len(out), at, last, kind, piece, step))
@@ -74,10 +95,14 @@ def rows_of(text: str, lang: str) -> list[tuple]:
             add("{" if step > 0 else "}", at, at, "", step)
         code, blocks = [], []
 
-    for kind, a, b in lex(text, lang):
+    for kind, a, b in toks:
         piece = text[a:b]
+        if held < 0 and a in heads:
+            held = heads[a]  # the end of the head's parentheses; up to it, all is one row
+        elif a > held:
+            held = -1
         if kind == "n":
-            if nested == 0 or lang not in ("python",):
+            if held < 0 and (nested == 0 or lang not in ("python",)):
                 flush()
             elif code:
                 code.append(" ")
@@ -98,7 +123,7 @@ def rows_of(text: str, lang: str) -> list[tuple]:
                 indents.pop()
                 add("}", line, line, "", -1)
         if kind == "c":
-            if fresh:
+            if fresh and held < 0:
                 add("c", line, line + lines, piece)
             line += lines
             continue
@@ -110,8 +135,12 @@ def rows_of(text: str, lang: str) -> list[tuple]:
         if not code:
             code_line = line
         if kind == "p" and lang not in ("python", "ruby") and piece in "{}":
-            if not (nested and lang in ("javascript", "typescript")):
+            if held < 0:
                 flush()
+                if script:  # each block counts its own parentheses
+                    if piece == "{":
+                        outer.append(nested)
+                    nested = outer.pop() if piece == "}" and outer else 0
                 add(piece, line, line, "", 1 if piece == "{" else -1)
                 fresh = False
                 continue

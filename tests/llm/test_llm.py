@@ -89,6 +89,20 @@ def test_ruby_pairs(spark):
     assert (3, 8, "count") in got and {(n, m) for n, _e, m in got} == {(3, "count"), (20, "one?")}
 
 
+def test_header_shapes(spark):
+    doc = "// Counts every row of the table that is older than a day.\n"
+    texts = {
+        "a.cs": f"class A {{\n{doc}void Save(int retries = 3) {{\n  Go();\n}}\n}}\n",
+        "a.cpp": f"{doc}int load(int n = 2,\n         int m = 3) {{\n  return n;\n}}\n",
+        "a.dart": f"{doc}int load([int n = 2]) {{\n  return n;\n}}\n",
+        "a.ts": f"class A {{\n{doc}save(\n  a: number,\n  {{ b, c }}: P,\n): void {{\n  go();\n}}\n}}\n{doc}const f = (\n  a,\n  b = g(),\n) => {{\n  return a;\n}};\n",
+        "a.js": f"define([], function () {{\n{doc}function f({{ a, b }}) {{\n  return a;\n}}\n{doc}it('x', function () {{\n  f(1);\n}});\nreturn component({{\n{doc}  run(a) {{\n    return {{ a }};\n  }},\n}});\n}});\n",
+    }
+    files = spark.createDataFrame([(i, "r", p, t, None) for i, (p, t) in enumerate(texts.items())], SRC)
+    got = {(r.file_id, r.line_no, r.end_line, r.name) for r in docpairs.pairs(files, files.limit(0).select("file_id")).collect()}
+    assert got == {(0, 3, 5, "Save"), (1, 2, 5, "load"), (2, 2, 4, "load"), (3, 3, 8, "save"), (3, 11, 16, "f"), (4, 3, 5, "f"), (4, 12, 14, "run")}
+
+
 def test_function_pairs(spark):
     rows = [(1, "r", "a.go", GO, None), (2, "r", "A.java", JAVA, "unknown"), (3, "r", "a.py", PY, "python"), (4, "r", "b.py", PY, "python"), (5, "r", "c.py", None, "python"), (6, None, "c.md", "# x", "markdown")]
     files = spark.createDataFrame(rows, SRC)
