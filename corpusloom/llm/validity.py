@@ -11,8 +11,9 @@ each chunk begins, and then its statements are parsed where they are, with
 local grammars: rules on neighbouring tokens of a statement.  What a chunk
 can't tell alone is kept in its map and judged when the maps are composed: the
 depths, counted from the chunk's start, at which a statement has a head that
-can't stand at the top of a file, and its first and last tokens.  Python, JSON, TOML and XML have exact grammars in the
-standard library; files that passed so far are held against them at the end.
+can't stand at the top of a file, and its first and last tokens.  Python is held against its exact grammar besides.
+JSON, TOML and XML go only through the standard library's parsers and YAML
+through a grammar of lines, each over a whole text, not through the maps.
 """
 
 from __future__ import annotations
@@ -360,7 +361,9 @@ def exact_error(text: str, lang: str) -> str:
             tomllib.loads(text.replace("\r\n", "\n"))
         elif lang == "xml":
             expat.ParserCreate().Parse(text.encode("utf-8", "replace"), True)
-    except (SyntaxError, ValueError, RecursionError, MemoryError, expat.ExpatError) as e:
+    except (RecursionError, MemoryError):
+        return ""  # nested too deeply for the parser: no verdict
+    except (SyntaxError, ValueError, expat.ExpatError) as e:
         return type(e).__name__
     return ""
 

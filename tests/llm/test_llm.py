@@ -226,6 +226,10 @@ def test_verdicts_do_not_depend_on_the_chunks(spark, monkeypatch):
     assert validity.invalid_files(spark.createDataFrame([(i, "r", None, t, k) for i, (k, t) in enumerate(big)], SRC)).count() == 0
 
 
+def test_deep_nesting_is_no_error():
+    assert validity.exact_error("[" * 200_000 + "]" * 200_000, "json") == "" and validity.exact_error("[1", "json") != ""
+
+
 def test_leaks_match_brute_force(spark):
     rng = np.random.default_rng(3)
     w = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 60, n))
