@@ -20,14 +20,21 @@ _DQ = r'"(?:[^"\\\n]|\\[\s\S])*"'
 _SQ = r"'(?:[^'\\\n]|\\[\s\S])*'"
 
 
-def _rules(lang: str) -> tuple[str, str, str]:
+# A template may hold templates in its ``${}``, here one level deep.
+_INSIDE = r"\$\{(?:[^`{}]|\{[^{}`]*\}|`(?:[^`\\]|\\[\s\S])*+`)*+\}"
+_TEMPLATE = rf"`(?:[^`\\$]|\\[\s\S]|{_INSIDE}|\$)*+`|`(?:[^`\\]|\\[\s\S])*+`"
+
+
+def _rules(lang: str, templates: bool = True) -> tuple[str, str, str]:
     """Patterns of comments, closed strings and openings without an end."""
     triple = r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""'
     if lang == "python":
         pre = r"(?:\b(?:[rR][bBfF]?|[bBfFuU][rR]?|[tT][rR]?))?"
         return (r"\#[^\n]*", rf"{pre}(?:{triple}|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|{_DQ}|{_SQ})", rf"{pre}(?:\"\"\"[\s\S]*|'''[\s\S]*|\"(?:[^\"\\\n]|\\[\s\S])*|'(?:[^'\\\n]|\\[\s\S])*)")
     if lang == "ruby":
-        return (r"\#[^\n]*|^=begin\b[\s\S]*?^=end\b[^\n]*", rf"{_DQ}|{_SQ}|`[^`\n]*`", r"\"[^\n]*|'[^\n]*")
+        regex = r"(?:(?<=[=(,~|&!{\[])|(?<=[=(,~|&!{\[][ ])|(?<=when[ ])|(?<=if[ ])|(?<=and[ ]))/(?![ =*/])(?:[^/\\\n]|\\.)+/[a-z]*"
+        words = r"(?<![\w)\]])%[wWiIqQrx]?(?:\[[^\]]*\]|\([^()]*\)|\{[^{}]*\})"
+        return (r"\#[^\n]*|^=begin\b[\s\S]*?^=end\b[^\n]*", rf"{_DQ}|{_SQ}|`[^`\n]*`|{regex}|{words}", r"\"[^\n]*|'[^\n]*")
     if lang in SLASH:
         block = r"/\*(?:[^*]|\*(?!/))*\*/"
         if lang in NESTED:
@@ -37,7 +44,9 @@ def _rules(lang: str) -> tuple[str, str, str]:
             comment += r"|\#(?!\[)[^\n]*"
         if lang in ("javascript", "typescript"):
             regex = r"(?:(?<=[=(,:!&|?;{}\[])|(?<=[=(,:!&|?;{}\[][ ])|(?<=return[ ]))/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
-            return (comment, rf"{_DQ}|{_SQ}|`(?:[^`\\]|\\[\s\S])*`|{regex}", r"/\*[\s\S]*|`[\s\S]*|\"[^\n]*|'[^\n]*")
+            if not templates:
+                return (comment, rf"{_DQ}|{_SQ}|{regex}", r"/\*[\s\S]*|\"[^\n]*|'[^\n]*")
+            return (comment, rf"{_DQ}|{_SQ}|{_TEMPLATE}|{regex}", r"/\*[\s\S]*|`[\s\S]*|\"[^\n]*|'[^\n]*")
         if lang == "go":
             return (comment, rf"{_DQ}|'(?:[^'\\\n]|\\[^\n])+'|`[^`]*`", r"/\*[\s\S]*|`[\s\S]*|\"[^\n]*|'[^\n]*")
         if lang == "rust":
@@ -62,10 +71,12 @@ def _rules(lang: str) -> tuple[str, str, str]:
 
 
 @lru_cache(maxsize=64)
-def pattern(lang: str) -> re.Pattern:
-    comment, string, bad = _rules(lang)
+def pattern(lang: str, templates: bool = True) -> re.Pattern:
+    """The compiled lexer; without ``templates`` a back quote of a script is a sign of its own."""
+    comment, string, bad = _rules(lang, templates)
+    sign = r"'[^\W\d]\w*(?!')|[\s\S]" if lang == "rust" else r"[\s\S]"  # Rust's lifetimes
     name = r"[^\W\d]\w*" if lang not in ("javascript", "typescript", "php", "java") else r"(?:[^\W\d]|\$)[\w$]*"
-    return re.compile(rf"(?P<n>\n)|(?P<w>[^\S\n]+)|(?P<c>{comment})|(?P<s>{string})|(?P<x>{bad})|(?P<d>\d\w*(?:\.\d\w*)?)|(?P<i>{name})|(?P<p>[\s\S])", re.M)
+    return re.compile(rf"(?P<n>\n)|(?P<w>[^\S\n]+)|(?P<c>{comment})|(?P<s>{string})|(?P<x>{bad})|(?P<d>\d\w*(?:\.\d\w*)?)|(?P<i>{name})|(?P<p>{sign})", re.M)
 
 
 def lex(text: str, lang: str) -> list[tuple[str, int, int]]:

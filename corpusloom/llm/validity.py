@@ -2,53 +2,51 @@
 
 A text is cut into chunks of whole lines.  For every state that the lexer can
 be in where a chunk begins (code, or inside one of the language's long
-strings or comments) a chunk has one entry of a *state map*: the state where
-it ends and its *bracket summary*, the brackets that are left when pairs
-within it are taken away.  Maps compose associatively, so the chunks of a file
-are reduced in blocks, then the blocks, wherever they lie; a file of any length
-is no more than its summaries in one place.  The same maps say in which state
-each chunk begins, and then its statements are parsed where they are, with
-local grammars: rules on neighbouring tokens of a statement.  What a chunk
-can't tell alone is kept in its map and judged when the maps are composed: the
-depths, counted from the chunk's start, at which a statement has a head that
-can't stand at the top of a file, and its first and last tokens.  Python is held against its exact grammar besides.
-JSON, TOML and XML go only through the standard library's parsers and YAML
-through a grammar of lines, each over a whole text, not through the maps.
+strings, comments, templates, embedded texts) a chunk has one entry of a
+*state map*: the state where it ends and its *bracket summary*, the brackets
+that are left when pairs within it are taken away; in XML tags are the
+brackets, in JSON each level is an automaton, and blocks that are told by
+their indent leave columns (``levels``).  Maps compose associatively, so the
+chunks of a file are reduced in blocks, then the blocks, wherever they lie; a
+file of any length is no more than its summaries in one place.
+
+The statements are parsed in the same pass, chunk by chunk where they lie,
+with a local grammar for each language, a table that one interpreter reads
+(``grammar``; ``dataforms`` for JSON, TOML, XML and YAML).  What a chunk can't
+tell alone is kept in its map until its neighbours are known: its first and
+last token, and what is wrong only outside, or only inside, of all brackets.
+All languages go this way, and no whole-file parser is used.
 """
 
 from __future__ import annotations
 
-import ast
-import json
 import re
-import tomllib
-import warnings
 from functools import lru_cache, reduce
-from xml.parsers import expat
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import effective_language
 from ..sources.tables import spread
-from .lexer import CODE, NESTED, SLASH, pattern
+from .dataforms import MAPS as FORMS
+from .dataforms import STATES, entry_for, toml_seam
+from .grammar import local_map, seam
+from .levels import blank_entry, join, push
+from .lexer import CODE, NESTED, pattern
 
 CHUNK = 64_000  # characters; whole lines
 BLOCK = 64  # chunks whose maps are reduced together
-EXACT = ("python", "json", "toml", "xml")
 CHECKED = [*CODE, "json", "toml", "xml", "yaml"]
 
 # What each language can be inside of at the start of a line, and what ends it.
 _STATES = {
     "python": {"td": r'(?:[^"\\]|\\[\s\S]|"(?!""))*"""', "ts": r"(?:[^'\\]|\\[\s\S]|'(?!''))*'''"},
-    "javascript": {"c": r"(?:[^*]|\*(?!/))*\*/", "t": r"(?:[^`\\]|\\[\s\S])*`"},
+    "javascript": {"c": r"(?:[^*]|\*(?!/))*\*/"},
     "go": {"c": r"(?:[^*]|\*(?!/))*\*/", "t": r"[^`]*`"},
-    "php": {"c": r"(?:[^*]|\*(?!/))*\*/", "d": r'(?:[^"\\]|\\[\s\S])*"', "s": r"(?:[^'\\]|\\[\s\S])*'"},
+    "php": {"c": r"(?:[^*]|\*(?!/))*\*/", "d": r'(?:[^"\\]|\\[\s\S])*"', "s": r"(?:[^'\\]|\\[\s\S])*'", "m": ""},
     "rust": {"d": r'(?:[^"\\]|\\[\s\S])*"'},
-    "xml": {"c": r"(?:[^-]|-(?!->))*-->"},
-    "toml": {"td": r'(?:[^"\\]|\\[\s\S]|"(?!""))*"""'},
-    "yaml": {}, "json": {}, "ruby": {"b": r"(?:(?!^=end\b)[\s\S])*^=end\b[^\n]*"},
+    "ruby": {"b": r"(?:(?!^=end\b)[\s\S])*^=end\b[^\n]*"},
 }
 for _l in ("kotlin", "swift", "java", "csharp", "dart"):
     _STATES[_l] = {"c": r"(?:[^*]|\*(?!/))*\*/", "td": r'(?:[^"\\]|\\[\s\S]|"(?!""))*"""'}
@@ -65,52 +63,47 @@ for _l in NESTED:
 _OPENINGS = {"cpp": r'R"\w*\([\s\S]*', "rust": r'b?r\#*"[\s\S]*', "csharp": r'\$?@\$?"[\s\S]*|"""[\s\S]*', "ruby": r"^=begin\b[\s\S]*"}
 _COMMENTS = ("c", "cc", "b")
 _OPENED = {"/*": "c", "<!": "c", '"""': "td", "'''": "ts", "`": "t", '"': "d", "'": "s"}
-_PAIRS = {")": "(", "]": "[", "}": "{"}
-
-_KEYWORDS = {
-    "python": "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield match case type print",
-    "ruby": "alias and begin BEGIN break case class def defined do else elsif end ensure false for if in module next nil not or redo rescue retry return self super then true undef unless until when while yield puts print p require require_relative include extend attr_reader attr_accessor attr_writer raise private public protected lambda proc",
-    "javascript": "abstract as async await break case catch class const continue debugger declare default delete do else enum export extends false finally for from function get if implements import in infer instanceof interface is keyof let module namespace never new null of out override private protected public readonly return satisfies set static super switch this throw true try type typeof undefined unique unknown var void while with yield",
-    "java": "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package permits private protected public record return sealed short static strictfp super switch synchronized this throw throws transient try var void volatile when while yield true false null",
-    "kotlin": "abstract actual annotation as break by catch class companion const constructor continue crossinline data delegate do dynamic else enum expect external false field file final finally for fun get if import in infix init inline inner interface internal is it lateinit noinline null object open operator out override package private protected public reified return sealed set super suspend tailrec this throw true try typealias typeof until downTo step to val var vararg when where while",
-    "csharp": "abstract as async await base bool break byte case catch char checked class const continue decimal default delegate do double else enum event explicit extern false file finally fixed float for foreach from get global goto if implicit in init int interface internal into is join let lock long nameof namespace new null object on operator orderby out override params partial private protected public readonly record ref required return sbyte sealed select set short sizeof stackalloc static string struct switch this throw true try typeof uint ulong unchecked unsafe ushort using value var virtual void volatile when where while with yield",
-    "go": "any break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var nil true false",
-    "rust": "Self as async await box break const continue crate dyn else enum extern false fn for if impl in let loop macro_rules match mod move mut pub ref return self static struct super trait true type union unsafe use where while",
-    "cpp": "alignas auto bool break case catch char char8_t class co_await co_return co_yield concept const consteval constexpr constinit continue decltype default delete do double else enum explicit export extern false final float for friend goto if inline int long mutable namespace new noexcept nullptr operator override private protected public register requires return short signed sizeof static static_assert struct switch template this thread_local throw true try typedef typeid typename union unsigned using virtual void volatile wchar_t while define include ifdef ifndef endif elif pragma undef defined error once restrict _Bool",
-    "php": "abstract and array as break callable case catch class clone const continue declare default do echo else elseif empty enddeclare endfor endforeach endif endswitch endwhile enum eval exit extends final finally fn for foreach function global goto if implements include include_once instanceof insteadof interface isset list match namespace new null or print private protected public readonly require require_once return static string int float bool switch throw trait true false try unset use var void while xor yield from php mixed self",
-    "swift": "Any Self actor as associatedtype async await break case catch class continue convenience default defer deinit didSet do dynamic else enum extension fallthrough false fileprivate final for func get guard if import in indirect infix init inout internal is isolated lazy let mutating nil nonisolated nonmutating open operator optional override postfix precedencegroup prefix private protocol public repeat required rethrows return self set some static struct subscript super switch throw throws true try typealias unowned var weak where while willSet",
-}
-_KEYWORDS["typescript"], _KEYWORDS["c"] = _KEYWORDS["javascript"], _KEYWORDS["cpp"]
-_KEYWORDS["dart"], _KEYWORDS["gradle"] = _KEYWORDS["java"], _KEYWORDS["kotlin"]
-_WORDS = {k: frozenset(v.split()) for k, v in _KEYWORDS.items()}
-
-_MARK = re.compile(r"(<{7}|>{7}|\|{7})( .*)?$|={7}$|@@ -\d+(,\d+)? \+\d+(,\d+)? @@|(---|\+\+\+) [ab]?/|diff --git ")
-# Words of other languages that open a statement there and can't here.
-_FOREIGN = {
-    "python": r"(use|package|fn|func|function|const|let|var|public|private|#include)\b.*[;{]?$",
+_SCRIPTS = ("javascript", "typescript")
+# Texts that a label on a line of its own ends.
+_HERE = {
+    "php": re.compile(r"<<<[ \t]*([\"']?)(?P<label>[A-Za-z_]\w*)\1(?=[ \t]*\r?\n)"),
+    "ruby": re.compile(r"<<(?:[~-]|(?=[\"'`]?[A-Z_]{2}))([\"'`]?)(?P<label>[A-Za-z_]\w*)\1"),
 }
-_HEADS = {
-    "java": r"(package|import|public|private|protected|class|interface|enum|abstract|final|static|record|sealed|non|strictfp|@|;|})",
-    "go": r"(package|import|func|var|const|type|}|\)|;)",
-    "rust": r"(use|mod|pub|fn|struct|enum|impl|trait|const|static|type|extern|unsafe|async|union|macro_rules|#|}|;|\w+!|\w+::)",
-    "csharp": r"(using|namespace|class|interface|struct|enum|record|public|private|protected|internal|static|abstract|sealed|partial|delegate|readonly|global|extern|\[|#|}|;|unsafe|file|ref|async|var|[A-Z]\w*[.(])",
-}
-_PREFIXED = re.compile(r"(?i)^[a-z@$#]{0,3}[\"'`]")
-
+_ENDLESS = re.compile(r"\s+[\w.]+[?!]?(?:\s*\([^()\n]*\))?[ \t]+=[ \t]")  # a method of Ruby that needs no end
+_PHP = re.compile(r"<\?(?:php\b|=)")
+_IN_TEMPLATE = re.compile(r"`|\$\{|\\[\s\S]")
+_IN_CODE = re.compile(r"""`|[{}]|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|//[^\n]*|/\*[\s\S]*?\*/""")
 
 def _base(lang: str) -> dict[str, str]:
     return _STATES.get(lang, {})
 
 
+def _stacks(most: int = 5) -> list[str]:
+    """What a chunk of a script may lie inside of: templates, code in them, and braces of that code."""
+    out, now = [], ["`"]
+    while now:
+        out += now
+        now = [x + y for x in now if len(x) < most for y in ("$" if x[-1] == "`" else "`{")]
+    return out
+
+
 def entries_of(text: str, lang: str) -> list[str]:
     """The states in which a chunk may begin; one that nothing in the chunk ends needs no entry."""
-    raw = sorted({f"h{m}" for m in re.findall(r'"(\#*)', text)}) if lang == "rust" else []
-    return ["", *_base(lang), *raw]
+    if lang in STATES:
+        return STATES[lang](text)
+    out = ["", *_base(lang)]
+    if lang == "rust":
+        out += sorted({f"h{m}" for m in re.findall(r'"(\#*)', text)})
+    if lang in _SCRIPTS and re.search(r"[`{}]", text):
+        out += ["t" + s for s in _stacks()]
+    if lang in _HERE:
+        out += sorted({f"e{m}" for m in re.findall(r"^[ \t]*([A-Za-z_]\w*)\b", text, re.M)})
+    return out
 
 
 @lru_cache(maxsize=64)
 def _lexer(lang: str) -> re.Pattern:
-    p = pattern(lang).pattern
+    p = pattern(lang, templates=False).pattern
     # An opening whose end lies in another chunk is not an empty string and the start of the next.
     for q, k in (('"', "td"), ("'", "ts")):
         if k in _base(lang):
@@ -147,6 +140,13 @@ def _leave(text: str, lang: str, state: str) -> tuple[str, int]:
     if state[0] == "h":
         at = text.find('"' + state[1:])
         return ("", at + len(state)) if at >= 0 else (state, len(text))
+    if state[0] == "e":
+        return _here(text, 0, state[1:].split(","))
+    if state[0] == "t" and lang in _SCRIPTS:
+        return _template(text, 0, state[1:])
+    if state == "m":
+        m = _PHP.search(text)
+        return ("", m.end()) if m else ("m", len(text))
     if state == "cc":
         m = re.match(_INNER, text)
         if not m:
@@ -158,170 +158,95 @@ def _leave(text: str, lang: str, state: str) -> tuple[str, int]:
     return _nested(text[at:]) if state == "c" and lang in NESTED else state, len(text)
 
 
-def scan(text: str, lang: str, state: str) -> tuple[str, str, list[tuple[str, int, int]]]:
-    """Lex a chunk from ``state``: (state at the end, unmatched brackets or ``!`` + reason, tokens).
+def _template(text: str, at: int, stack: str) -> tuple[str, int]:
+    """(state, where the outermost template ends) from inside of the templates and braces in ``stack``."""
+    while at < len(text):
+        m = (_IN_TEMPLATE if stack[-1] == "`" else _IN_CODE).search(text, at)
+        if not m:
+            break
+        at = m.end()
+        sign = m[0]
+        if sign == "`" and stack[-1] == "`" or sign == "}":
+            stack = stack[:-1]
+            if not stack:
+                return "", at
+        elif sign in ("`", "${", "{"):
+            stack += sign[0]
+    return "t" + stack, len(text)
+
+
+def _here(text: str, at: int, labels: list[str]) -> tuple[str, int]:
+    """(state, where the last of the texts ends that labels on lines of their own close)."""
+    for i, label in enumerate(labels):
+        m = re.compile(rf"^[ \t]*{label}\b", re.M).search(text, at)
+        if not m:
+            return "e" + ",".join(labels[i:]), len(text)
+        at = m.end()
+    return "", at
+
+
+def scan(text: str, lang: str, state: str) -> tuple[str, list[str] | str, list[tuple[str, int, int]]]:
+    """Lex a chunk from ``state``: (state at the end, brackets left or the rule that is broken, tokens).
 
     A string or comment that the chunk begins or ends in is a token, too.
     """
-    at, left, toks = 0, [], []
+    at, left, toks, labels = 0, [], [], []
     if state:
-        kind = "c" if state in _COMMENTS else "s"
+        kind = "c" if state in _COMMENTS or state[0] == "e" else "h" if state == "m" else "s"
         state, at = _leave(text, lang, state)
         toks.append((kind, 0, at))
         if state:
-            return state, "", toks
-    for m in _lexer(lang).finditer(text, at):
-        k = m.lastgroup if m.lastgroup != "h" else "s"
-        if k in "wn":
-            if k == "n":
-                toks.append((k, m.start(), m.end()))
+            return state, left, toks
+    lexer = _lexer(lang)
+    while at < len(text):
+        m = lexer.match(text, at)
+        k, a, at = m.lastgroup if m.lastgroup != "h" else "s", m.start(), m.end()
+        if k == "n":
+            toks.append((k, a, at))
+            if labels:
+                state, at = _here(text, at, labels)
+                toks.append(("c", a + 1, at))
+                if state:
+                    return state, left, toks
+                labels = []
+            continue
+        if k == "w":
             continue
         if k == "x":
             kind = _opened(m[0], lang)
             if kind:
-                toks.append(("c" if kind in _COMMENTS else "s", m.start(), m.end()))
-                return kind, "".join(left), toks  # goes on in the next chunk
+                toks.append(("c" if kind in _COMMENTS else "s", a, len(text)))
+                return kind, left, toks  # goes on in the next chunk
             opened = re.sub(r"^[A-Za-z@$]+(?=[\"'`])", "", m[0])
-            if not (lang == "rust" and opened[0] == "'" or lang in ("c", "cpp") and opened[0] == "'" and toks and toks[-1][0] == "d"):
-                return "", f"!quote{m.start()}", toks
-            continue
+            if lang in ("c", "cpp") and opened[0] == "'" and toks and toks[-1][0] == "d":
+                at = a + 1  # digits in groups
+                continue
+            return "", "quote", toks
         if k == "p":
             p = m[0]
-            if p in "([{":
-                left.append(p)
-            elif p in ")]}":
-                if left and left[-1] in "([{":
-                    if left.pop() != _PAIRS[p]:
-                        return "", f"!pair{m.start()}", toks
-                else:
-                    left.append(p)
-        toks.append((k, m.start(), m.end()))
-    return "", "".join(left), toks
-
-
-def compose(a: str, b: str) -> str:
-    """The bracket summary of two neighbours; summaries that start with ``!`` are wrong already."""
-    if a.startswith("!") or b.startswith("!"):
-        return a if a.startswith("!") else b
-    left = list(a)
-    for p in b:
-        if p in _PAIRS and left and left[-1] in "([{":
-            if left.pop() != _PAIRS[p]:
-                return "!pair"
-        else:
-            left.append(p)
-    return "".join(left)
-
-
-_RESET = ("go", "kotlin", "swift", "ruby", "javascript", "typescript", "python")
-
-
-def _signs(lang: str, two: str) -> bool:
-    """Whether two neighbouring signs can't stand so."""
-    return two in ("(,", ",)", ",,", "{%", "%}", "[,", "=;", "=)", ",;", "(;", "+;", "*;", "/)", "%)", "*)", "({,", ".)", ".;", "(=", ",]", ",}") and not (
-        two == ",)" and lang in ("go", "rust", "python", "kotlin", "javascript", "typescript", "swift", "php", "ruby", "dart", "gradle")
-        or two in (",]", ",}")
-        or two in (",,", "[,") and lang in ("javascript", "typescript", "csharp", "rust")
-        or two in ("(;", "*)", "=)", "(=", "%)", "/)", ".)", "+;", "*;") and (two == "(;" or lang in ("c", "cpp", "swift", "rust", "kotlin", "java", "php", "javascript", "typescript") and two in ("*)", ".)", "+;", "(=", "=)"))
-        or two == "%}" and lang == "ruby"
-    )
-
-
-def seam(lang: str, tail: str, lead: str) -> str:
-    """The rule that the last token of a chunk and the first one of the next break, or an empty string."""
-    if tail == "d" and lead == "i ":
-        return "operand"
-    if tail[:1] == lead[:1] == "p":
-        return "escape" if tail + lead == "p&p;" else "signs" + tail[1:] + lead[1:] if _signs(lang, tail[1:] + lead[1:]) else ""
-    return ""
-
-
-def local_map(text: str, lang: str, toks: list[tuple[str, int, int]], first: bool, enter: str = "") -> dict:
-    """What the local grammars say of a chunk.
-
-    local: the first rule that a statement breaks, or an empty string; depth:
-    brackets opened less closed; heads: the depths from the chunk's start at
-    which a line's head can't stand at the top of a file; lead, tail: first and
-    last token as :func:`seam` wants them, empty if there is none; seen: PHP's
-    opening.  On the line where a comment of an earlier chunk ends, rules that
-    must know whether the comment began its line are left out.
-    """
-    out = {"local": "", "depth": 0, "heads": [], "lead": "", "tail": "", "seen": lang != "php" or bool(re.search(r"<\?(php|=)", text))}
-    out["local"] = _rules(text, lang, toks, first, enter, out)
-    return out
-
-
-def _rules(text: str, lang: str, toks: list[tuple[str, int, int]], first: bool, enter: str, out: dict) -> str:
-    words = _WORDS.get(lang, frozenset())
-    for m in re.finditer(r"^[ \t]*([<>|=@+d-][^\n]*)$", text, re.M):
-        if _MARK.match(m[1]) and not _inside(toks, text, m.start(1)):
-            return "marker"
-    if lang not in CODE:
-        return ""
-    if lang not in ("python", "php") and first and re.match(r"\s*<(!doctype|html|\?xml)", text, re.I):
-        return "language"
-    depth, run, previous, line_start = 0, 0, ("n", ""), True
-    sure, heads = enter not in _COMMENTS, set()
-    if enter and sure:
-        previous, line_start, out["lead"], out["tail"], toks = ("s", ""), False, "-", "-", toks[1:]
-    for k, a, b in toks:
-        if k == "n":
-            line_start, sure, run = True, True, 0
-            if lang in _RESET:
-                previous, out["tail"] = ("n", ""), "-"
-                out["lead"] = out["lead"] or "-"
-            continue
-        if k == "c":
-            continue
-        piece = text[a:b]
-        pk, pp = previous
-        if not out["lead"]:
-            out["lead"] = "p" + piece if k == "p" else "i " if k == "i" and piece not in words and text[a - 1 : a] == " " else "-"
-        out["tail"] = "p" + piece if k == "p" else "d" if k == "d" else "-"
-        if line_start and sure and depth <= 0 and depth not in heads and k in "ip" and lang in _HEADS:
-            if not re.match(_HEADS[lang], text[a : a + 40]):
-                heads.add(depth)
-                out["heads"].append(depth)
-        if k == "i":
-            run = run + 1 if piece not in words else 0
-            if run >= 3 and lang not in ("ruby", "c", "cpp", "swift") or run >= 4:
-                return "prose"
-            if pk == "d" and text[a - 1] == " " and piece not in words or pk == "s" and not line_start and piece not in words and lang not in ("cpp", "c", "rust", "swift", "ruby", "csharp"):
-                return "operand"
-            if pk == "i" and run == 2 and lang in ("javascript", "typescript", "python", "kotlin", "php", "rust", "swift") and not _soft(lang, pp, piece):
-                return "names"
-            if pk == "p" and pp == ")" and lang in ("javascript", "typescript", "go", "python", "rust", "php") and piece not in words and not line_start and not re.search(r"\b(if|while|for|with|switch)\b", text[text.rfind("\n", 0, a) + 1 : a]) and lang != "go":
-                return "after"
-        else:
-            run = 0
-            if k == "d" and pk in "dis" and pk != "n" and not line_start and text[a - 1] == " " and pp not in words and not (pk == "i" and lang in ("ruby", "c", "cpp", "swift")):
-                return "operand"
-            if k == "s" and pk in "sd" and not line_start and lang not in ("c", "cpp", "ruby", "python") and a > 0 and text[a - 1] == " ":
-                return "operand"
-            if k == "s" and pk == "i" and pp not in words and not line_start and lang in ("javascript", "typescript", "java", "kotlin", "go", "csharp", "swift", "php") and text[a - 1] == " " and piece[0] != "`":
-                return "operand"
-            if k == "p":
-                depth += (piece in "([{") - (piece in ")]}")
-                out["depth"] = depth
-                if pk == "p" and _signs(lang, pp + piece):
-                    return "signs" + pp + piece
-                if piece == ";" and pk == "p" and pp == "&":
-                    return "escape"
-            if k == "p" and piece == ";" and pk == "i" and pp in ("quot", "amp", "lt", "gt", "apos", "nbsp") and text[a - len(pp) - 1] == "&":
-                return "escape"
-        previous, line_start = (k, piece), False
-    return ""
-
-
-def _soft(lang: str, a: str, b: str) -> bool:
-    """Neighbouring names that a language allows."""
-    if lang == "swift" or lang == "python" and a in ("match", "case", "type", "print", "exec"):
-        return True
-    return a[:1].isupper() and lang in ("php",) or lang == "php" and b.startswith("$")
-
-
-def _inside(toks: list[tuple[str, int, int]], text: str, at: int) -> bool:
-    return any(k in "sc" and a <= at < b for k, a, b in toks if k in "sc")
+            if p == "`" and lang in _SCRIPTS:
+                state, at = _template(text, at, "`")
+                toks.append(("s", a, at))
+                if state:
+                    return state, left, toks
+                continue
+            if p == "?" and lang == "php" and text[at : at + 1] == ">":
+                state, end = _leave(text[at + 1 :], lang, "m")
+                toks.append(("h", a, at + 1 + end))
+                at += 1 + end
+                if state:
+                    return state, left, toks
+                continue
+            if p == "<" and lang in _HERE and (h := _HERE[lang].match(text, a)) and not (toks and toks[-1][0] == "i" and toks[-1][2] == a):
+                labels.append(h["label"])
+                toks.append(("s", a, h.end()))
+                at = h.end()
+                continue
+            if p in "([{" or p in ")]}":
+                if not push(left, "code", p):
+                    return "", "pair", toks
+        toks.append((k, a, at))
+    return "", left, toks
 
 
 def ruby_blocks(text: str, toks: list[tuple[str, int, int]]) -> int:
@@ -334,10 +259,10 @@ def ruby_blocks(text: str, toks: list[tuple[str, int, int]]) -> int:
         p = text[a:b]
         if k == "i" and not (a and text[a - 1] in ".:@$" or text[b : b + 1] == ":"):
             if p in ("def", "class", "module", "begin", "case", "for") and not (p == "class" and text[b : b + 1] == "."):
-                n += 1
+                n += p != "def" or not _ENDLESS.match(text, b)
             elif p == "do" and not re.search(r"^\s*(while|until|for)\b", text[text.rfind("\n", 0, a) + 1 : a]):
                 n += 1
-            elif p in ("if", "unless", "while", "until") and (start or text[:a].rstrip(" ").endswith("=")):
+            elif p in ("if", "unless", "while", "until") and (start or text[max(0, a - 9) : a].rstrip(" ").endswith("=")):
                 n += 1
             elif p == "end":
                 n -= 1
@@ -348,97 +273,6 @@ def ruby_blocks(text: str, toks: list[tuple[str, int, int]]) -> int:
     return n
 
 
-def exact_error(text: str, lang: str) -> str:
-    """The error of the language's own parser, or an empty string."""
-    try:
-        if lang == "python":
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text.lstrip("﻿"))
-        elif lang == "json":
-            json.loads(text.lstrip("﻿"), parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c)))
-        elif lang == "toml":
-            tomllib.loads(text.replace("\r\n", "\n"))
-        elif lang == "xml":
-            expat.ParserCreate().Parse(text.encode("utf-8", "replace"), True)
-    except (RecursionError, MemoryError):
-        return ""  # nested too deeply for the parser: no verdict
-    except (SyntaxError, ValueError, expat.ExpatError) as e:
-        return type(e).__name__
-    return ""
-
-
-_YAML_LINE = re.compile(r"""^(?P<i> *)(?:(?:- +)*(?:(?:"(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^\s#"'\[\]{},&*!|>%@`-][^:#]*|-[^\s:][^:#]*|[^\s#:]+[^#]*?)\s*:(?:\s+(?P<v>.*))?|-(?:\s+(?P<w>.*))?)|---.*|\.\.\.|%.*)$""")
-
-
-def yaml_error(text: str) -> str:
-    """A grammar of lines: keys, list items, block texts, flow collections and quoted scalars."""
-    block, flow, stack = -1, "", [0]
-    previous_value = False
-    for raw in text.replace("\r\n", "\n").split("\n"):
-        if not raw.strip() or raw.lstrip().startswith("#") and block < 0:
-            continue
-        indent = len(raw) - len(raw.lstrip(" "))
-        if block >= 0:
-            if indent > block:
-                continue
-            block = -1
-            if raw.lstrip().startswith("#"):
-                continue
-        if raw.lstrip(" ").startswith("\t"):
-            return "tab"
-        if _MARK.match(raw.strip()):
-            return "marker"
-        if flow:
-            flow = _flow(flow, raw)
-            if flow.startswith("!"):
-                return "flow"
-            continue
-        m = _YAML_LINE.match(raw)
-        if not m:
-            return "line"
-        v = (m["v"] if m["v"] is not None else m["w"]) or ""
-        if m["w"] and (n := _YAML_LINE.match(m["w"])):
-            v = n["v"] or ""
-        if indent > stack[-1] and previous_value and not raw.lstrip().startswith("- "):
-            return "indent"
-        while len(stack) > 1 and indent < stack[-1]:
-            stack.pop()
-        if indent > stack[-1]:
-            stack.append(indent)
-        elif indent < stack[-1]:
-            return "indent"
-        v = re.sub(r"^(?:[&!][^\s]*\s+)+", "", v)
-        plain = re.sub(r"\s+#.*$", "", v)
-        previous_value = bool(plain.strip()) and plain[0] not in "|>" and not m["w"]
-        if plain[:1] in ("|", ">"):
-            block = indent
-        elif plain[:1] in ('"', "'"):
-            q = r'"(?:[^"\\]|\\.)*"' if plain[0] == '"' else r"'(?:[^']|'')*'"
-            if not re.fullmatch(rf"{q}\s*", plain):
-                return "quote"
-        elif plain[:1] in ("[", "{"):
-            flow = _flow("", v)
-            if flow.startswith("!"):
-                return "flow"
-        elif plain[:1] in ("@", "`", "%", "}", "]", ","):
-            return "scalar"
-        elif re.search(r":\s", plain):
-            return "colon"
-    return "flow" if flow else ""
-
-
-def _flow(left: str, line: str) -> str:
-    for p in re.sub(r'"(?:[^"\\]|\\.)*"|\'(?:[^\']|\'\')*\'', "s", line):
-        if p in "[{":
-            left += p
-        elif p in "]}":
-            if not left or left[-1] != _PAIRS[p]:
-                return "!"
-            left = left[:-1]
-    return left
-
-
 def chunks_of(text: str, size: int | None = None) -> list[str]:
     """Pieces of about CHUNK characters that end with a line feed; one behind a backslash goes on with its string."""
     size = size or CHUNK
@@ -453,53 +287,65 @@ def chunks_of(text: str, size: int | None = None) -> list[str]:
     return out
 
 
-MAPS = "array<struct<enter:string,exit:string,left:string,local:string,ends:int,depth:int,heads:array<int>,lead:string,tail:string,seen:boolean>>"
+MAPS = (
+    "array<struct<enter:string,exit:string,left:array<string>,local:string,depth:int,low:int,columns:array<int>,stack:array<int>,opens:string,before:string,"
+    "top:string,inner:string,roots:int,stray:boolean,ends:int,lead:string,tail:string,seen:boolean>>"
+)
 
 
 def chunk_map(text: str, lang: str, first: bool) -> list[dict]:
     """The map of a chunk, one entry per state that it may begin in."""
+    states = ["m" if lang == "php" else ""] if first else entries_of(text, lang)
+    if lang in FORMS:
+        return [FORMS[lang](text, state, first) for state in states]
+    if first and lang not in ("python", "php"):
+        text = re.sub(r"^#![^\[\n][^\n]*", "", text.lstrip("\ufeff"))
     entries = []
-    for state in [""] if first else entries_of(text, lang):
+    for state in states:
         exit_, left, toks = scan(text, lang, state)
+        entry = local_map(text, lang, toks, first, state, _COMMENTS)
         # Brackets that don't fit decide already; the rest of the chunk was not lexed then.
-        rules = local_map(text, lang, [] if left.startswith("!") else toks, first, state) | ({"local": ""} if left.startswith("!") else {})
-        entries.append({"enter": state, "exit": exit_, "left": left, "ends": ruby_blocks(text, toks) if lang == "ruby" else 0, **rules})
+        broken = left if isinstance(left, str) else ""
+        entry |= {"exit": exit_, "left": [] if broken else left, "local": broken or entry["local"]}
+        entry |= {"ends": ruby_blocks(text, toks) if lang == "ruby" else 0, "seen": any(k != "h" for k, _a, _b in toks)}
+        entries.append(entry)
     return entries
 
 
 def chunk_maps(files: DataFrame) -> DataFrame:
-    """(file_id, repo, language, text) to one row per chunk: file_id, repo, language, chunk_no, n_chunks, map."""
-    size = CHUNK
+    """(file_id, repo, language, text) to one row per chunk: file_id, repo, language, chunk_no, n_chunks, map.
 
-    @F.udf("array<string>")
-    def cut(t: str):
-        return chunks_of(t, size)
+    Only texts above CHUNK go through the cutting; their chunks are spread
+    again, so that those of a long file are lexed by as many tasks.
+    """
+    size = CHUNK
 
-    pieces = F.when(F.length("text") <= size, F.array("text")).otherwise(cut("text"))
-    rows = files.select("file_id", "repo", "language", F.posexplode(pieces).alias("chunk_no", "chunk"), (F.floor(F.length("text") / size) + 1).cast("int").alias("n_chunks"))
+    @F.pandas_udf("array<string>")
+    def cut(t: pd.Series) -> pd.Series:
+        return pd.Series([chunks_of(x, size) for x in t])
 
     @F.pandas_udf(MAPS)
     def maps(chunk: pd.Series, lang: pd.Series, no: pd.Series) -> pd.Series:
         return pd.Series([chunk_map(t, language, n == 0) for t, language, n in zip(chunk, lang, no)])
 
+    keys = ["file_id", "repo", "language"]
+    short = files.where(F.length("text") <= size).select(*keys, F.lit(0).alias("chunk_no"), F.col("text").alias("chunk"), F.lit(1).alias("n_chunks"))
+    pieces = files.where(F.length("text") > size).select(*keys, cut("text").alias("_c"))
+    long = pieces.select(*keys, F.posexplode("_c").alias("chunk_no", "chunk"), F.size("_c").alias("n_chunks"))
+    rows = short.unionByName(spread(long, "file_id", "chunk_no"))
     return rows.withColumn("map", maps("chunk", "language", "chunk_no")).drop("chunk")
 
 
 def join_maps(a: list[dict], b: list[dict], lang: str) -> list[dict]:
     """The map of two neighbours.  A state without an entry in one of them goes through it."""
-    blank = {"left": "", "local": "", "ends": 0, "depth": 0, "heads": [], "lead": "", "tail": "", "seen": False}
-    known = {e["enter"] for e in a}
-    step, out = {e["enter"]: e for e in b}, []
-    whole = "" in known and len(known) == 1  # the file's beginning has no other state
-    for e in [*a, *([] if whole else [{"enter": s, "exit": s, **blank} for s in step if s not in known])]:
-        n = step.get(e["exit"])
+    kind = lang if lang in ("json", "xml") else "code"
+    known, step = {e["enter"] for e in a}, {e["enter"]: e for e in b}
+    out, beginning = [], len(a) == 1  # the file's beginning has one state only
+    for e in [*a, *([] if beginning else [blank_entry(s) | {"exit": s} for s in step if s not in known])]:
+        n = entry_for(step, e["exit"], lang)
         if n is not None:
-            local = e["local"] or seam(lang, e["tail"], n["lead"]) or n["local"]
-            heads = sorted({*e["heads"], *(e["depth"] + h for h in n["heads"] if e["depth"] + h <= 0)})
-            e = {
-                "enter": e["enter"], "exit": n["exit"], "left": compose(e["left"], n["left"]), "local": local, "ends": e["ends"] + n["ends"],
-                "depth": e["depth"] + n["depth"], "heads": heads, "lead": e["lead"] or n["lead"], "tail": n["tail"] or e["tail"], "seen": e["seen"] or n["seen"],
-            }
+            rules = (("", toml_seam(e["tail"], n["lead"])) if lang == "toml" else seam(lang, e["tail"], n["lead"])) if e["tail"] and n["lead"] else ("", "")
+            e = join(e, n, kind, *rules)
         out.append(e)
     return out
 
@@ -529,6 +375,25 @@ def prepared(files: DataFrame) -> DataFrame:
     return files.select("file_id", "repo", effective_language("detected_language", F.regexp_replace("relative_path", r"\\", "/")).alias("language"), "text").where(F.col("language").isin(CHECKED) & (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
 
 
+def error_of(language: Column, begin: Column) -> Column:
+    """The first rule that a whole file breaks, from its only map entry; null if it breaks none."""
+    form = language.isin("json", "xml")
+    value = F.coalesce(F.size(begin["left"]) == 1, F.lit(False)) & F.coalesce(F.substring(F.try_element_at(begin["left"], F.lit(1)), 10, 1) == "u", F.lit(False))
+    return (
+        F.when(begin["local"] != "", begin["local"])
+        .when(~begin["exit"].rlike("^$|^n") & ~((language == "php") & (begin["exit"] == "m")), F.lit("open"))
+        .when((language == "json") & ~value, F.lit("value"))
+        .when((language != "json") & (F.size(begin["left"]) > 0), F.lit("brackets"))
+        .when((language == "php") & ~begin["seen"], F.lit("language"))
+        .when(begin["top"] != "", begin["top"])
+        .when((language == "xml") & ((begin["roots"] != 1) | begin["stray"]), F.lit("root"))
+        .when((language == "python") & ((begin["opens"] == "must") | (F.size(begin["columns"]) > 1) | (F.try_element_at(begin["columns"], F.lit(1)) > 0)), F.lit("block"))
+        .when((language == "yaml") & (F.size(begin["columns"]) > 1), F.lit("dedent"))
+        .when(~form & begin["tail"].isin("p=", "p,") & ~language.isin("ruby"), F.lit("end"))
+        .when((begin["ends"] != 0) & ~((language == "xml") & begin["seen"]), F.lit("blocks"))
+    )
+
+
 def verdicts(files: DataFrame) -> DataFrame:
     """One row per checked file: file_id, repo, language, error (null if it parses).
 
@@ -536,29 +401,8 @@ def verdicts(files: DataFrame) -> DataFrame:
     languages.  A file whose language is null or ``unknown`` goes by the ending
     of its path; if that is null too, it is left out.  Copies are judged each.
     """
-    ready = prepared(files)
-    quick = spread(ready.where(~F.col("language").isin("json", "yaml", "toml", "xml")), "file_id")
-    maps = reduce_maps(chunk_maps(quick))
-    begin = F.element_at(F.filter("map", lambda e: e["enter"] == ""), 1)
-    error = (
-        F.when(begin["left"].startswith("!"), F.substring(F.regexp_replace(begin["left"], r"\d", ""), 2, 20))
-        .when(begin["exit"] != "", F.lit("open"))
-        .when(begin["left"] != "", F.lit("brackets"))
-        .when(begin["local"] != "", begin["local"])
-        .when(~begin["seen"], F.lit("language"))
-        .when(F.array_contains(begin["heads"], 0), F.lit("head"))
-        .when(begin["ends"] != 0, F.lit("blocks"))
-    )
-
-    @F.pandas_udf("string")
-    def exactly(t: pd.Series, lang: pd.Series) -> pd.Series:
-        return pd.Series([(yaml_error(x) if y == "yaml" else exact_error(x, y)) or None for x, y in zip(t, lang)], dtype=object)
-
-    state = maps.select("file_id", "repo", "language", error.alias("error"))
-    exact = spread(ready.where(F.col("language").isin(*EXACT, "yaml")), "file_id").select("file_id", "repo", "language", exactly("text", "language").alias("error"))
-    # What the maps and local grammars let pass, the language's own parser may still refuse.
-    both = state.unionByName(exact)
-    return both.groupBy("file_id", "repo", "language").agg(F.max("error").alias("error"))
+    maps = reduce_maps(chunk_maps(spread(prepared(files), "file_id")))
+    return maps.select("file_id", "repo", "language", error_of(F.col("language"), F.col("map")[0]).alias("error"))
 
 
 def invalid_files(files: DataFrame) -> DataFrame:

@@ -1,11 +1,16 @@
 import json
 import re
+from functools import reduce
+from xml.parsers import expat
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import credentials, docpairs, encoding, handwritten, langid, leakage, mixing, validity
+from corpusloom.llm.levels import complete
+
+from .snippets import INVALID, VALID
 
 UP = "input_id long, repo string, name string, content string"
 SRC = "file_id long, repo string, relative_path string, text string, detected_language string"
@@ -181,17 +186,6 @@ def test_invalid_files(spark):
     assert validity.rates(files.limit(0)).count() == 0
 
 
-def test_chunks_agree_with_the_whole(spark, monkeypatch):
-    body = "".join(f"/* note {i}\n{{ */ function f{i}(a) {{\n  return `x ${{a}}\n`;\n}}\n" for i in range(40))
-    monkeypatch.setattr(validity, "CHUNK", 200)
-    for text, bad in ((body, False), (body + "}\n", True), (body[:-3], True), (body + "/* open", True)):
-        maps = [{e: validity.scan(c, "javascript", e)[:2] for e in ["", "c", "t"]} for c in validity.chunks_of(text)]
-        state, left = "", ""
-        for m in maps:
-            state, left = m[state][0], validity.compose(left, m[state][1])
-        assert bool(state or left) == bad
-
-
 LONG = {  # valid, with statements that could not stand at the top of a file, and long strings and comments of every kind
     "java": "package a;\n\nclass A {\n  int f() {\n    int x = f();\n    /* don't (\n <<<<<<< HEAD\n a b c d ( */\n    x = g(\n      1,\n      x);\n    String s = \"\"\"\n  a \"b ( c\n    \"\"\";\n    return x;\n  }\n}\n",
     "go": "package a\n\nfunc f() int {\n\tx := g(\n\t\t1,\n\t)\n\ts := `a ( b\nit's \"(\n`\n\t/* don't (\n a b c d */\n\treturn x\n}\n",
@@ -226,8 +220,68 @@ def test_verdicts_do_not_depend_on_the_chunks(spark, monkeypatch):
     assert validity.invalid_files(spark.createDataFrame([(i, "r", None, t, k) for i, (k, t) in enumerate(big)], SRC)).count() == 0
 
 
+def _verdict(text, lang, size):
+    """The verdict on one text cut at ``size``, without Spark."""
+    maps = [validity.chunk_map(c, lang, n == 0) for n, c in enumerate(validity.chunks_of(text, size))]
+    (e,) = reduce(lambda a, b: validity.join_maps(a, b, lang), maps)
+    return e
+
+
+def _wrong(e, lang):
+    """The same as validity.error_of says in columns, for one map entry."""
+    if lang == "json":
+        return bool(e["local"]) or not complete(e["left"], lang)
+    block = lang == "python" and (e["opens"] == "must" or e["columns"][1:] or (e["columns"] or [0])[0] > 0) or lang == "yaml" and e["columns"][1:]
+    exits = e["exit"] and not e["exit"].startswith("n") and not (lang == "php" and e["exit"] == "m")
+    return bool(e["local"] or exits or e["left"] or e["top"] or block or e["ends"] and not (lang == "xml" and e["seen"]) or lang == "xml" and (e["roots"] != 1 or e["stray"]) or lang == "php" and not e["seen"] or lang != "ruby" and e["tail"] in ("p=", "p,"))
+
+
+@pytest.mark.parametrize("size", [64_000, 200, 40, 1])
+def test_snippets_of_every_language(size):
+    assert [(lang, t) for lang, ts in VALID.items() for t in ts if _wrong(_verdict(t, lang, size), lang)] == []
+    assert [(lang, t) for lang, ts in INVALID.items() for t in ts if not _wrong(_verdict(t, lang, size), lang)] == []
+
+
+# What can be repeated inside of a large file, and what stands around.
+BIG = {
+    "json": ("[\n", '  {"a": [1, {"b": null}]},\n', "  0\n]\n"), "xml": ("<a>\n", "  <b c='1'\n    d='2'>x <!-- y\n --></b>\n", "</a>\n"), "toml": ("a = [\n", '  [1, "x"], """y ]\n""",\n', "]\n"),
+    "yaml": ("a:\n", "  - b: |\n      x: [\n    c: {d: [1,\n      2]}\n  - \"x\n    y\"\n", "z: 1\n"), "python": ("class A:\n", '    def f(self, a=(1,\n          2)):\n        """x (\n        """\n        if a:\n            return [\n                1,\n            ]\n', "x = 1\n"),
+}
+
+
+@pytest.mark.parametrize("lang", [*LONG, *BIG])
+def test_large_files_and_their_truncated_twins(lang):
+    a, more, z = BIG.get(lang) or ("", LONG[lang].split("\n", 1)[1] if lang == "php" else re.sub(r"^package a\n\n|^package a;\n\n", "", LONG[lang]), "")
+    head = {"php": "<?php\n", "go": "package a\n\n", "java": "package a;\n\n"}.get(lang, "") + a
+    text = head + more * (200_000 // len(more)) + z
+    cut = text[: text.rindex(z) - len(more) // 2 if z else -len(more) // 2]
+    if lang == "python":  # half a file of Python may well parse
+        cut = text[: max(text.rfind("g("), text.rfind("return [")) + 9]
+    for size in (200, 64_000, 10**9):
+        assert (size, bool(_wrong(_verdict(text, lang, size), lang)), bool(_wrong(_verdict(cut, lang, size), lang))) == (size, False, True)
+
+
 def test_deep_nesting_is_no_error():
-    assert validity.exact_error("[" * 200_000 + "]" * 200_000, "json") == "" and validity.exact_error("[1", "json") != ""
+    assert not _wrong(_verdict("[" * 200_000 + "]" * 200_000, "json", 64_000), "json") and _wrong(_verdict("[1", "json", 64_000), "json")
+
+
+def test_data_forms_agree_with_exact_parsers():
+    rng = np.random.default_rng(5)
+    base = {"json": VALID["json"] + ['{"a": 1, "b": [true, "x,y"], "c": {"d": -1.5}}\n'], "xml": VALID["xml"][:0] + ["<a><b c='1'>x</b><d/>y &lt;</a>\n"]}
+    parse = {"json": lambda t: json.loads(t, parse_constant=lambda c: int("x")), "xml": lambda t: expat.ParserCreate().Parse(t.encode(), True)}
+    for lang, texts in base.items():
+        for _ in range(1500):
+            t = texts[int(rng.integers(len(texts)))]
+            at, how = int(rng.integers(len(t))), int(rng.integers(3))
+            t = t[:at] + t[at + 1 :] if how == 0 else t[:at] + t[int(rng.integers(len(t)))] + t[at:] if how == 1 else t[:at]
+            if not t.strip():
+                continue
+            try:
+                parse[lang](t)
+                bad = False
+            except (ValueError, expat.ExpatError):
+                bad = True
+            assert (t, bool(_wrong(_verdict(t, lang, 64_000), lang))) == (t, bad)
 
 
 def test_leaks_match_brute_force(spark):
