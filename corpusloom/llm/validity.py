@@ -312,28 +312,31 @@ def chunk_map(text: str, lang: str, first: bool) -> list[dict]:
     return entries
 
 
-def chunk_maps(files: DataFrame) -> DataFrame:
-    """(file_id, repo, language, text) to one row per chunk: file_id, repo, language, chunk_no, n_chunks, map.
+def _maps(chunk: Column, lang: Column, no: Column) -> Column:
+    """Maps of chunks.  Not told to be deterministic: a filter on them would run them again below the spreading."""
 
-    Only texts above CHUNK go through the cutting; their chunks are spread
-    again, so that those of a long file are lexed by as many tasks.
+    @F.pandas_udf(MAPS)
+    def udf(t: pd.Series, language: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([chunk_map(x, y, k == 0) for x, y, k in zip(t, language, n)])
+
+    return udf.asNondeterministic()(chunk, lang, no)
+
+
+KEYS = ["file_id", "repo", "language"]
+
+
+def chunk_maps(files: DataFrame, size: int) -> DataFrame:
+    """(file_id, repo, language, text) to one row per chunk: file_id, repo, language, chunk_no, map.
+
+    The chunks are spread anew, so that those of a long file are lexed by as many tasks.
     """
-    size = CHUNK
 
     @F.pandas_udf("array<string>")
     def cut(t: pd.Series) -> pd.Series:
         return pd.Series([chunks_of(x, size) for x in t])
 
-    @F.pandas_udf(MAPS)
-    def maps(chunk: pd.Series, lang: pd.Series, no: pd.Series) -> pd.Series:
-        return pd.Series([chunk_map(t, language, n == 0) for t, language, n in zip(chunk, lang, no)])
-
-    keys = ["file_id", "repo", "language"]
-    short = files.where(F.length("text") <= size).select(*keys, F.lit(0).alias("chunk_no"), F.col("text").alias("chunk"), F.lit(1).alias("n_chunks"))
-    pieces = files.where(F.length("text") > size).select(*keys, cut("text").alias("_c"))
-    long = pieces.select(*keys, F.posexplode("_c").alias("chunk_no", "chunk"), F.size("_c").alias("n_chunks"))
-    rows = short.unionByName(spread(long, "file_id", "chunk_no"))
-    return rows.withColumn("map", maps("chunk", "language", "chunk_no")).drop("chunk")
+    pieces = files.select(*KEYS, F.posexplode(cut.asNondeterministic()("text")).alias("chunk_no", "chunk"))
+    return spread(pieces, "file_id", "chunk_no").select(*KEYS, "chunk_no", _maps(F.col("chunk"), F.col("language"), F.col("chunk_no")).alias("map"))
 
 
 def join_maps(a: list[dict], b: list[dict], lang: str) -> list[dict]:
@@ -360,14 +363,20 @@ def _fold(parts: pd.Series, lang: pd.Series) -> pd.Series:
 
 
 def reduce_maps(chunks: DataFrame) -> DataFrame:
-    """One map per file.  Files of one chunk, nearly all, need no shuffle; others go by blocks, then by file."""
-    one = chunks.where("n_chunks = 1").select("file_id", "repo", "language", "map")
-    many = chunks.where("n_chunks > 1").withColumn("block", F.floor(F.col("chunk_no") / BLOCK))
-    _reduced = F.pandas_udf(_fold, MAPS)
+    """One map per file: chunks go together by blocks, then blocks by file."""
+    _reduced = F.pandas_udf(_fold, MAPS).asNondeterministic()
+    rows = chunks.withColumn("block", F.floor(F.col("chunk_no") / BLOCK))
     part = F.collect_list(F.struct(F.col("chunk_no").alias("no"), "map"))
-    blocks = many.groupBy("file_id", "repo", "language", "block").agg(part.alias("p")).withColumn("map", _reduced("p", "language")).drop("p")
-    whole = blocks.groupBy("file_id", "repo", "language").agg(F.collect_list(F.struct(F.col("block").cast("int").alias("no"), "map")).alias("p"))
-    return one.unionByName(whole.select("file_id", "repo", "language", _reduced("p", "language").alias("map")))
+    blocks = rows.groupBy(*KEYS, "block").agg(part.alias("p")).withColumn("map", _reduced("p", "language")).drop("p")
+    whole = blocks.groupBy(*KEYS).agg(F.collect_list(F.struct(F.col("block").cast("int").alias("no"), "map")).alias("p"))
+    return whole.select(*KEYS, _reduced("p", "language").alias("map"))
+
+
+def file_maps(files: DataFrame) -> DataFrame:
+    """One map per file.  Files of up to CHUNK characters, nearly all, are one chunk and need no grouping."""
+    size = CHUNK
+    short = spread(files.where(F.length("text") <= size), "file_id").select(*KEYS, _maps(F.col("text"), F.col("language"), F.lit(0)).alias("map"))
+    return short.unionByName(reduce_maps(chunk_maps(files.where(F.length("text") > size), size)))
 
 
 def prepared(files: DataFrame) -> DataFrame:
@@ -401,8 +410,7 @@ def verdicts(files: DataFrame) -> DataFrame:
     languages.  A file whose language is null or ``unknown`` goes by the ending
     of its path; if that is null too, it is left out.  Copies are judged each.
     """
-    maps = reduce_maps(chunk_maps(spread(prepared(files), "file_id")))
-    return maps.select("file_id", "repo", "language", error_of(F.col("language"), F.col("map")[0]).alias("error"))
+    return file_maps(prepared(files)).select("file_id", "repo", "language", error_of(F.col("language"), F.col("map")[0]).alias("error"))
 
 
 def invalid_files(files: DataFrame) -> DataFrame:
