@@ -17,19 +17,26 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share.
+    """The folder that all executors share, named by ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``; a temporary folder is
-    taken only where that is unset, as in local tests.
+    Where that is unset, a temporary folder is taken in local mode only; a
+    cluster's executors would not share one.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = os.path.join(tempfile.gettempdir(), f"corpusloom-{os.getuid()}")
     return at.rstrip("/")
 
 
+def removed_at_end(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the application ends; results may be read until then."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def written(df: DataFrame, label: str = "stage", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the result survives lost executors.
 
@@ -42,6 +49,7 @@ def written(df: DataFrame, label: str = "stage", partition_by: list[str] | None
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    removed_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,6 +58,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+        removed_at_end(spark, spark.sparkContext.getCheckpointDir())
     return df.checkpoint()
 
 
@@ -63,14 +72,21 @@ def spread(df: DataFrame, *keys: str, per_core: int = 2) -> DataFrame:
     return df.repartition(n, *[F.col(k) for k in keys])
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], rows: int = 100_000, salts: int = 16, how: str = "left") -> DataFrame:
+BROADCAST_BYTES = 64 << 20  # what a lookup table may take on every executor
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], width: int = 200, salts: int = 16, how: str = "left", salt: str | None = None) -> DataFrame:
     """Join a table with a lookup table that has at most one row per key.
 
-    The lookup is broadcast only if it was counted and has at most ``rows``
-    rows.  Beyond that it is repeated over salts, so that a key held by a
-    third of the left side is spread over as many tasks.
+    The lookup is broadcast only if its rows, counted, times ``width`` bytes
+    stay within BROADCAST_BYTES; give a table that is cheap to count, as a
+    written one.  Beyond that it is repeated over salts, so that a key held by
+    a third of the left side is spread over as many tasks.  The salt is a hash
+    of the column ``salt``, or of the whole row: a task that runs again draws
+    the same salts.
     """
-    if right.limit(rows + 1).count() <= rows:
+    if right.limit(BROADCAST_BYTES // width + 1).count() <= BROADCAST_BYTES // width:
         return left.join(F.broadcast(right), keys, how)
     salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("_salt", F.floor(F.rand(7) * salts).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
+    by = [F.col(salt)] if salt else [F.col(c) for c, t in left.dtypes if "map<" not in t]
+    return left.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
