@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import lookup, spread
+from ..sources.tables import lookup, spread, written
 
 FIT_DOCUMENTS = 20_000  # labelled documents that the model of characters is fitted on, at most
 FIT_FEATURES = 6_000  # most frequent features kept for each language
@@ -97,20 +97,22 @@ def amount(piece: str) -> tuple[int, int]:
     return len(_WORD.findall(piece)), len(re.findall(rf"[{SIGNS}]", piece))
 
 
-def fit(labelled: DataFrame, documents: int = FIT_DOCUMENTS, keep: int = FIT_FEATURES) -> dict:
-    """The model of characters: {"langs": [...], "scores": {feature: [log-likelihoods]}, "miss": [...]}.
+def fit(keys: DataFrame, texts: DataFrame, documents: int = FIT_DOCUMENTS, keep: int = FIT_FEATURES) -> dict:
+    """The model of characters: {"langs": [...], "scores": {feature: [log-likelihoods]}}.
 
-    ``labelled``: (doc_id, text, code).  It is fitted on at most ``documents``
-    of them, evenly over languages and chosen by a hash of the id, and holds
-    at most ``keep`` features of each language, whatever the corpus's size.
+    ``keys``: (doc_id, code) of labelled documents, ``texts``: (doc_id, text).
+    It is fitted on at most ``documents`` of them, evenly over languages and
+    chosen by a hash of the id, and holds at most ``keep`` features of each
+    language, whatever the corpus's size.
     """
-    langs = labelled.select("code").distinct().count()
-    per = max(1, documents // max(1, langs))
-    ranked = labelled.withColumn("_h", F.xxhash64("doc_id"))
+    sizes = keys.groupBy("code").agg(F.count("*").alias("_n"))
+    per = F.lit(documents) / F.greatest(F.count("*").over(Window.partitionBy()), F.lit(1))
+    sizes = sizes.withColumn("_per", F.floor(F.greatest(per, F.lit(1.0))))  # a row a language
     # A cut on the hash leaves about `per` of a language before any rows are ordered.
-    sizes = ranked.groupBy("code").agg(F.count("*").alias("_n"))
-    near = ranked.join(F.broadcast(sizes), "code").where((F.col("_n") <= per) | (F.pmod("_h", F.lit(1_000_000)) < F.lit(1_100_000.0) * per / F.col("_n")))
-    sample = near.withColumn("_k", F.row_number().over(Window.partitionBy("code").orderBy("_h", "doc_id"))).where(F.col("_k") <= per)
+    ranked = keys.select("doc_id", "code").withColumn("_h", F.xxhash64("doc_id"))
+    near = ranked.join(F.broadcast(sizes), "code").where((F.col("_n") <= F.col("_per")) | (F.pmod("_h", F.lit(1_000_000)) < F.lit(1_100_000.0) * F.col("_per") / F.col("_n")))
+    picked = near.withColumn("_k", F.row_number().over(Window.partitionBy("code").orderBy("_h", "doc_id"))).where(F.col("_k") <= F.col("_per")).select("doc_id", "code")
+    sample = texts.where("text is not null").join(F.broadcast(picked), "doc_id")  # at most `documents` ids
 
     @F.pandas_udf("array<string>")
     def grams(t: pd.Series) -> pd.Series:
@@ -124,12 +126,11 @@ def fit(labelled: DataFrame, documents: int = FIT_DOCUMENTS, keep: int = FIT_FEA
     names = sorted(by)
     total = {c: sum(v.values()) for c, v in by.items()}
     every = {g for v in by.values() for g in v}
-    floor = {c: math.log(0.5 / (total[c] + 0.5 * (len(every) + 1))) for c in names}
     scores = {g: [math.log((by[c].get(g, 0) + 0.5) / (total[c] + 0.5 * (len(every) + 1))) for c in names] for g in every}
-    return {"langs": names, "scores": scores, "miss": [floor[c] for c in names]}
+    return {"langs": names, "scores": scores}
 
 
-def priors(labelled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def priors(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Shares of languages, smoothed from all documents to sources to repos, and by ending of the path.
 
     Each is one row per group: the group's columns and ``p``, a map from code to share.
@@ -151,117 +152,140 @@ def priors(labelled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     repo = shares(["source_key", "repo_key"], source, ["source_key"])
     ending = shares(["ending"], base, [])
     as_map = F.map_from_entries(F.collect_list(F.struct("code", "share"))).alias("p")
-    return base.agg(as_map), repo.groupBy("source_key", "repo_key").agg(as_map.alias("repo_p")), ending.groupBy("ending").agg(as_map.alias("ending_p"))
+    return repo.groupBy("source_key", "repo_key").agg(as_map.alias("repo_p")), ending.groupBy("ending").agg(as_map.alias("ending_p"))
 
 
 SEGMENTS = "array<struct<start:int,stop:int,lang:string,confidence:double,words:int,signs:int>>"
+LANGS = "array<struct<lang:string,confidence:double,words:int,signs:int>>"
+SLICE = 500  # documents judged in one matrix
 
 
-def judged(documents: DataFrame) -> DataFrame:
+def judged(documents: DataFrame, with_segments: bool = True) -> DataFrame:
     """Every document with non-blank text: doc_id, label (code or null), segments, langs.
 
     ``langs`` lists the languages of its running text with their confidence:
     those of at least MIN_WORDS words or MIN_SIGNS signs, or the one there is
     most of.  It is empty if all of the text is code, log lines or numbers.
     Null sources, repos and paths are groups of their own; an empty table, or
-    one without any label, gives an empty result.
+    one without any label, gives an empty result.  ``segments`` is left out if
+    it isn't wanted.
     """
-    some = documents.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select(
-        "doc_id",
-        "text",
+    evidence = [
         label_code(F.col("lang")).alias("label"),
         F.coalesce("source", F.lit("")).alias("source_key"),
         F.coalesce("repo", F.lit("")).alias("repo_key"),
         F.lower(F.regexp_extract(F.coalesce("path", F.lit("")), r"((?:\.[^./]*)?\.[^./]*)$", 1)).alias("ending"),
-    )
-    labelled = some.where("label is not null").withColumnRenamed("label", "code")
-    model = fit(labelled)
-    _base, by_repo, by_ending = priors(labelled.drop("text"))
-    rows = lookup(lookup(spread(some, "doc_id"), by_repo, ["source_key", "repo_key"]), by_ending, ["ending"])
+    ]
+    # Written without the texts: model and priors read it several times.
+    keys = written(documents.select("doc_id", *evidence).where("label is not null").withColumnRenamed("label", "code"), "p8-keys")
+    model = fit(keys, documents.select("doc_id", "text"))
+    by_repo, by_ending = (written(x, "p8-prior") for x in priors(keys))
+    some = documents.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select("doc_id", "text", *evidence)
+    width = 40 * len(model["langs"]) + 100  # bytes of a row of shares
+    rows = lookup(lookup(spread(some, "doc_id"), by_repo, ["source_key", "repo_key"], width=width, salt="doc_id"), by_ending, ["ending"], width=width, salt="doc_id")
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(f"segments {SEGMENTS}, langs array<struct<lang:string,confidence:double,words:int,signs:int>>")
+    @F.pandas_udf((f"segments {SEGMENTS}, " if with_segments else "") + f"langs {LANGS}")
     def decide(text: pd.Series, label: pd.Series, repo_p: pd.Series, ending_p: pd.Series) -> pd.DataFrame:
-        m = shared.value
-        return pd.DataFrame([_decide(m, t, l, r, e) for t, l, r, e in zip(text, label, repo_p, ending_p)], columns=["segments", "langs"])
+        found = []
+        for at in range(0, len(text), SLICE):
+            part = slice(at, at + SLICE)
+            found += _decide(shared.value, list(text[part]), list(label[part]), list(repo_p[part]), list(ending_p[part]), with_segments)
+        return pd.DataFrame(found, columns=["segments", "langs"])[["segments", "langs"] if with_segments else ["langs"]]
 
-    return rows.withColumn("_d", decide("text", "label", "repo_p", "ending_p")).select("doc_id", "label", "_d.segments", "_d.langs")
+    # Not told to be deterministic: a filter on the result would run the model twice.
+    return rows.withColumn("_d", decide.asNondeterministic()("text", "label", "repo_p", "ending_p")).select("doc_id", "label", "_d.*")
 
 
-def _prior(langs: list[str], shares) -> list[float]:
+def _prior(langs: list[str], shares) -> np.ndarray:
     p = dict(shares) if shares is not None else {}
-    return [math.log(p.get(c, 0.0) + 1e-3) for c in langs]
+    return np.log(np.array([p.get(c, 0.0) for c in langs]) + 1e-3)
 
 
-def _softmax(x: list[float]) -> list[float]:
-    top = max(x)
-    e = [math.exp(v - top) for v in x]
-    return [v / sum(e) for v in e]
+def _softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
 
 
-def _likelihood(model: dict, piece: str) -> list[float]:
-    """Tempered log-likelihoods of a segment; those of a word are kept, as words come again and again."""
-    scores, known = model["scores"], model.setdefault("words", {})
-    total = np.zeros(len(model["langs"]))
-    for run in re.findall(rf"[{SIGNS}]+", piece):
-        for f in (*run, *(run[i : i + 2] for i in range(len(run) - 1))):
-            if f in scores:
-                total += scores[f]
-    for w in _WORD.findall(piece):
-        v = known.get(w)
-        if v is None:
-            got = [scores[f] for f in features(w) if f in scores]
-            v = np.sum(got, axis=0) if got else np.zeros(len(total))
-            if len(known) < KEPT_WORDS:
-                known[w] = v
-        total += v
-    return (TEMPER * total).tolist()
+def _runs(piece: str) -> list[str]:
+    """What a segment's likelihood is the sum of: words, and runs of signs."""
+    return [*_WORD.findall(piece), *re.findall(rf"[{SIGNS}]+", piece)]
+
+
+def _likelihoods(model: dict, pieces: list[str]) -> np.ndarray:
+    """Tempered log-likelihoods, a row a segment; those of a word are kept, as words come again and again."""
+    scores, n = model["scores"], len(model["langs"])
+    known = model.setdefault("words", {})
+    if len(known) > KEPT_WORDS:
+        known.clear()
+    zero, rows, starts = np.zeros(n), [], []
+    for piece in pieces:
+        starts.append(len(rows))
+        for run in _runs(piece):
+            v = known.get(run)
+            if v is None:
+                got = [scores[f] for f in features(run) if f in scores]
+                v = known[run] = np.sum(got, axis=0) if got else zero
+            rows.append(v)
+        if starts[-1] == len(rows):
+            rows.append(zero)
+    return TEMPER * np.add.reduceat(np.array(rows), starts, axis=0)
 
 
-def _decide(model: dict, text: str, label, repo_p, ending_p) -> tuple[list, list]:
+def _decide(model: dict, texts: list[str], labels: list, repo_ps: list, ending_ps: list, with_segments: bool) -> list[tuple]:
+    """(segments, langs) of each document; the documents' segments are the rows of one matrix."""
     langs = model["langs"]
-    if not langs:
-        return [], []
     n = len(langs)
-    outside = math.log((1 - LABEL_RIGHT) / max(1, n - 1))
-    declared = [math.log(LABEL_RIGHT) if c == label else outside for c in langs] if label else [0.0] * n
-    around = [0.5 * (a + b) for a, b in zip(_prior(langs, repo_p), _prior(langs, ending_p))]
-    parts = []
-    for a, b in segments_of(text):
-        piece = plain(text[a:b])
-        words, signs = amount(piece)
-        if words + signs and not (_QUOTE.match(text[a:b]) and words + signs / 2 < QUOTE_WORDS):
-            parts.append((a, b, words, signs, _likelihood(model, piece)))
+    parts, pieces, doc = [], [], []
+    for d, text in enumerate(texts):
+        for a, b in segments_of(text) if n else ():
+            piece = plain(text[a:b])
+            words, signs = amount(piece)
+            if words + signs and not (_QUOTE.match(text[a:b]) and words + signs / 2 < QUOTE_WORDS):
+                parts.append((a, b, words, signs))
+                pieces.append(piece)
+                doc.append(d)
+    out: list[tuple] = [([], []) for _ in texts]
     if not parts:
-        return [], []
+        return out
+    like, doc = _likelihoods(model, pieces), np.array(doc)
+    outside = math.log((1 - LABEL_RIGHT) / max(1, n - 1))
+    context = np.zeros((len(texts), n))
+    for d in np.unique(doc):
+        context[d] = 0.5 * (_prior(langs, repo_ps[d]) + _prior(langs, ending_ps[d]))
+        if labels[d]:
+            context[d] += [math.log(LABEL_RIGHT) if c == labels[d] else outside for c in langs]
     # How much of the text each language explains by itself, as the prior of a segment.
-    alone = [_softmax([v + d + r for v, d, r in zip(p[4], declared, around)]) for p in parts]
-    weight = [p[2] + p[3] / 2 for p in parts]
-    mass = [sum(w * s[k] for w, s in zip(weight, alone)) / sum(weight) for k in range(n)]
-    inside = [math.log(m + 1e-3) for m in mass]
-    out, sums = [], {}
-    for k, (a, b, words, signs, like) in enumerate(parts):
-        near = [0.0] * n
-        for other in (k - 1, k + 1):
-            if 0 <= other < len(parts):
-                near = [x + 0.3 * math.log(y + 1e-2) for x, y in zip(near, alone[other])]
-        post = _softmax([x + y + z for x, y, z in zip(like, inside, near)])
-        best = max(range(n), key=post.__getitem__)
-        out.append({"start": a, "stop": b, "lang": langs[best], "confidence": post[best], "words": words, "signs": signs})
-        s = sums.setdefault(langs[best], [0, 0, 0.0, 0.0])
-        s[0] += words
-        s[1] += signs
-        s[2] += weight[k] * post[best]
-        s[3] += weight[k]
-    found = [c for c, s in sums.items() if (s[1] >= MIN_SIGNS if c in ("zh", "ja") else s[0] >= MIN_WORDS)]
-    if not found:
-        found = [max(sums, key=lambda c: (sums[c][3], c))]
-    return out, [{"lang": c, "confidence": sums[c][2] / sums[c][3], "words": sums[c][0], "signs": sums[c][1]} for c in sorted(found)]
+    alone = _softmax(like + context[doc])
+    weight = np.array([w + s / 2 for _a, _b, w, s in parts])
+    first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    mass = np.add.reduceat(alone * weight[:, None], first, axis=0) / np.add.reduceat(weight, first)[:, None]
+    inside = np.repeat(np.log(mass + 1e-3), np.diff(np.append(first, len(doc))), axis=0)
+    near, step = np.zeros_like(like), 0.3 * np.log(alone + 1e-2)
+    same = doc[1:] == doc[:-1]
+    near[1:][same] += step[:-1][same]
+    near[:-1][same] += step[1:][same]
+    post = _softmax(like + inside + near)
+    best = post.argmax(axis=1)
+    sure = post[np.arange(len(best)), best]
+    for lo, hi in zip(first, np.append(first[1:], len(doc))):
+        sums: dict[str, list] = {}
+        for k in range(lo, hi):
+            s = sums.setdefault(langs[best[k]], [0, 0, 0.0, 0.0])
+            s[0] += parts[k][2]
+            s[1] += parts[k][3]
+            s[2] += weight[k] * sure[k]
+            s[3] += weight[k]
+        found = [c for c, s in sums.items() if (s[1] >= MIN_SIGNS if c in ("zh", "ja") else s[0] >= MIN_WORDS)]
+        found = found or [max(sums, key=lambda c: (sums[c][3], c))]
+        segs = [dict(zip(("start", "stop", "lang", "confidence", "words", "signs"), (a, b, langs[best[k]], float(sure[k]), w, g))) for k, (a, b, w, g) in zip(range(lo, hi), parts[lo:hi])] if with_segments else []
+        out[doc[lo]] = (segs, [{"lang": c, "confidence": float(sums[c][2] / sums[c][3]), "words": sums[c][0], "signs": sums[c][1]} for c in sorted(found)])
+    return out
 
 
 def relabelled(documents: DataFrame) -> DataFrame:
     """(doc_id, lang, confidence, label): documents without label, with a wrong one, or of several languages; a row for each language."""
-    j = judged(documents).where(F.size("langs") > 0)
+    j = judged(documents, with_segments=False).where(F.size("langs") > 0)
     wrong = F.col("label").isNull() | ~F.exists("langs", lambda x: x["lang"] == F.col("label")) | (F.size("langs") > 1)
     return j.where(wrong).select("doc_id", F.explode("langs").alias("l"), "label").select("doc_id", "l.lang", "l.confidence", "label")
 
