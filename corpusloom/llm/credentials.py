@@ -48,9 +48,14 @@ _FORMS = re.compile(
 # Notes that tell a login: what follows a name, and what must stand before that.
 _TOLD = re.compile(r" (?:as [`\"']?[\w.@-]+[`\"']? (?:with|using) (?:(?:the )?(?:password|passwd|pwd|secret|token) )?[`\"']?(?P<with>[^\s\"'`]{6,})|/ (?P<login>[^\s\"'`|]{8,})(?=[ \t]*(?:\*/|-->)?[ \t]*\r?$))", re.M)
 _LOGIN = re.compile(r"(?i)\b(?:(?:log|sign)(?:ged|ging|ning|ed|s)?[- _]?in|authenticated?|connect(?:ed)?|user(?:name)?|account|cred(?:ential)?s?)[:=]?(?:[ \t]+[\w.@-]+)?$")
-_PAIR = re.compile(r"""(?P<q>[`"']?)(?P<k>[A-Za-z_$][\w.$-]*)(?P=q)[^\S\n]*(?P<o>:=|=>|=(?!=)|:(?!:|//))[^\S\n]*(?:"(?P<dq>(?:[^"\\\n]|\\.)*)"|'(?P<sq>(?:[^'\\\n]|\\.)*)'|`(?P<bq>[^`\n]*)`|(?P<bare>[^\s"'`,;{}\[\]<>&][^\s&]*))""")
+_PAIR = re.compile(r"""(?P<q>[`"']?)(?P<k>[A-Za-z_$][\w.$-]*)(?P=q)[^\S\n]*(?P<o>:=|=>|=(?!=)|:(?!:|//))[^\S\n]*(?:"(?P<dq>(?:[^"\\\n]|\\.)*)"|'(?P<sq>(?:[^'\\\n]|\\.|''(?=[^\n']*'))*)'|`(?P<bq>[^`\n]*)`|(?P<bare>[^\s"'`,;{}\[\]<>&][^\s&]*))""")
 _PASSED = re.compile(r"\b(?P<k>[A-Za-z]+(?:_[A-Za-z]+)+|[a-z]+[A-Z]\w+|(?i:password|passwd|pwd|passphrase|passwort|apikey|token|secret|creds|credentials))(?:\s+is)?[ \t]+[`\"']?(?P<v>[^\s`\"',;]{6,})")
 _TAG = re.compile(r"<(?P<k>[A-Za-z_][\w.-]*)[^<>]*>(?P<v>[^<\n]+)</(?P=k)>")
+# Words of messages and prompts; a phrase with one of them is no password.
+_TALK = set("a an and are as at be by can cannot check does enter field for from forgot has have here in input invalid is it its key login match missing must need new no not of old on or please reset set should strong than that the this to too type use user valid was weak when with wrong you your".split())
+# Calls that only wrap a literal, and languages in which neighbouring literals are one.
+_WRAPPERS = {"from", "String", "str", "Some", "bytes", "Secret", "SecretString", "SecretStr", "to_string", "fromString"}
+_ADJOINED = ("python", "c", "cpp", "ruby", "dart")
 _CONNECT = re.compile(r"(?i)(connect|login|log_in|sign_?in|open_?session|auth|authenticate|basic_?auth|credential|open_?client|new_?client)")
 _GETTER = re.compile(r"(?i)(^|_)(get|getenv|env|lookup|read|fetch|load|find|resolve)|get$|getenv|environ")
 _FENCE = re.compile(r"^[ \t]*(?:>[ \t]*)?(`{3,}|~{3,})[ \t]*([\w+#.-]*)[^\n`]*$", re.M)
@@ -78,6 +83,14 @@ def is_secret(value: str, strict: bool = False) -> bool:
     return not strict or bool(re.search(r"\d", v) and re.search(r"[A-Za-z]", v)) or bool(re.search(r"[^\w\s.,]", v) and len(v) >= 8)
 
 
+def is_passphrase(name: str, value: str) -> bool:
+    """Whether the value of a password is a phrase of plain words that says nothing about passwords itself."""
+    words = value.split()
+    if not re.search(r"(?i)pass|pwd|secret", name) or not 3 <= len(words) <= 8 or not all(re.fullmatch(r"[a-z0-9]{2,12}", w) for w in words):
+        return False
+    return len(set(words)) == len(words) and not any(w in _SECRET_WORDS or w in _ABOUT or w in _TALK for w in words)
+
+
 def _by_form(text: str, at: int) -> list[tuple[int, int, str]]:
     out = []
     for m in _FORMS.finditer(text):
@@ -143,6 +156,53 @@ def _content(piece: str) -> tuple[int, int]:
     return m.end(), stop - len(q) if piece[:stop].endswith(q) and stop - len(q) >= m.end() else stop
 
 
+def _assigned(toks: list[tuple[str, int, int, str]], i: int, text: str) -> str:
+    """The name that the expression which begins at token ``i`` is assigned to, or an empty string."""
+    j = i - 1
+    if j > 0 and toks[j][3] == ">" and toks[j - 1][3] == "=":
+        j -= 1
+    if not (j > 0 and toks[j][3] in ("=", ":") and toks[j - 1][3] not in ("=", "!", "<", ">")):
+        return ""
+    by = toks[j][3]
+    j -= 1
+    if toks[j][3] == ":":
+        j -= 1
+    if toks[j][3] == "]" and j > 1 and toks[j - 1][0] == "s":
+        j -= 1
+    elif toks[j][3] == ">" and by == "=":  # a type with parameters
+        depth = 0
+        while j > 0 and (depth := depth + (toks[j][3] == ">") - (toks[j][3] == "<")) > 0:
+            j -= 1
+        j -= j > 0
+    elif toks[j][0] == "p" and toks[j][3] in "?!>]*":
+        while j > 0 and (toks[j][0] == "p" and toks[j][3] in "?!<>[]*&"):
+            j -= 1
+    if j > 1 and toks[j][0] == "i" and toks[j - 1][3] == ":" and toks[j - 2][0] == "i" and by == "=" and "\n" not in text[toks[j - 1][1] : toks[j][1]]:
+        j -= 2  # name : type = literal
+    elif j > 2 and toks[j][0] == "i" and toks[j - 1][3] in "&*" and toks[j - 2][3] == ":":
+        j -= 3
+    if toks[j][0] == "i":
+        return toks[j][3].lstrip("$")
+    if toks[j][0] == "s":
+        a, b = _content(toks[j][3])
+        return toks[j][3][a:b]
+    return ""
+
+
+def _wrapped(toks: list[tuple[str, int, int, str]], i: int) -> int:
+    """Where the expression begins that only wraps the literal at ``i``: ``String::from("...")``, ``Some("...")``, ``("...")``."""
+    while i > 0 and toks[i - 1][3] == "(":
+        j = i - 1
+        if j and toks[j - 1][0] == "i" and toks[j - 1][3] in _WRAPPERS:
+            j -= 1
+            while j > 1 and (toks[j - 1][3] in (".", ":") or toks[j - 1][0] == "i" and toks[j][3] in (".", ":") or toks[j - 1][3] == "new"):
+                j -= 1
+        elif j and toks[j - 1][0] == "i":
+            return i
+        i = j
+    return i
+
+
 def _in_code(text: str, lang: str, at: int) -> list[tuple[int, int, str]]:
     """Credentials among the literals that are assigned or passed."""
     out, toks, comments = [], [], []
@@ -169,34 +229,13 @@ def _in_code(text: str, lang: str, at: int) -> list[tuple[int, int, str]]:
         if y - x > 8:
             out += _in_lines(piece[x:y].replace('\\"', ' "').replace("\\'", " '"), at + a + x, True)
         before = toks[i - 1][3] if i else ""
-        if before in ("+", ".") and previous == i - 2 and groups:
+        joined = before in ("+", ".") and previous == i - 2 or previous == i - 1 and lang in _ADJOINED
+        if joined and groups:
             groups[-1][1].append(span)  # a literal in parts
             previous = i
             continue
-        name, j = "", i - 1
-        if before == ">" and j and toks[j - 1][3] == "=":
-            j -= 1
-        if j > 0 and toks[j][3] in ("=", ":") and not (j > 0 and toks[j - 1][3] in ("=", "!", "<", ">")):
-            j -= 1
-            if toks[j][3] == ":":
-                j -= 1
-            if toks[j][3] == "]" and j > 1 and toks[j - 1][0] == "s":
-                j -= 1
-            elif toks[j][0] == "p" and toks[j][3] in "?!>]*":
-                while j > 0 and (toks[j][0] == "p" and toks[j][3] in "?!<>[]*&"):
-                    j -= 1
-            if j > 1 and toks[j][0] == "i" and toks[j - 1][3] == ":" and toks[j - 2][0] == "i" and toks[i - 1][3] == "=" and "\n" not in text[toks[j - 1][1] : toks[j][1]]:
-                j -= 2  # name : type = literal
-            elif j > 2 and toks[j][0] == "i" and toks[j - 1][3] in "&*" and toks[j - 2][3] == ":":
-                j -= 3
-            if toks[j][0] == "i":
-                name = toks[j][3].lstrip("$")
-            elif toks[j][0] == "s":
-                c = _content(toks[j][3])
-                name = toks[j][3][c[0] : c[1]]
-        elif lang == "ruby" and before == ":" or before == ",":
-            pass
         previous = i
+        name = _assigned(toks, _wrapped(toks, i), text)
         if name:
             groups.append((name, [span]))
         elif calls and before in ("(", ","):
@@ -207,7 +246,8 @@ def _in_code(text: str, lang: str, at: int) -> list[tuple[int, int, str]]:
         else:
             groups.append(("", [span]))
     for name, spans in groups:
-        if name and names_credential(name) and is_secret("".join(text[a:b] for a, b in spans)):
+        value = "".join(text[a:b] for a, b in spans)
+        if name and names_credential(name) and (is_secret(value) or is_passphrase(name, value)):
             out += [(at + a, at + b, "named" if n == 0 else "part") for n, (a, b) in enumerate(spans)]
     for a, b in comments:
         out += _in_lines(text[a:b], at + a, True)
@@ -252,7 +292,8 @@ def credential_spans(records: DataFrame, text: str, language: str) -> DataFrame:
         return pd.Series([[dict(zip(("line_no", "start", "stop", "rule"), s)) for s in find(x, y)] for x, y in zip(t, lang)])
 
     some = F.trim(F.col(text)) != ""
-    return records.where(some).withColumn("spans", udf(F.col(text), F.col(language)))
+    # Not told to be deterministic: a filter on the spans would search the texts a second time, below the spreading.
+    return records.where(some).withColumn("spans", udf.asNondeterministic()(F.col(text), F.col(language)))
 
 
 def config_language(path: Column) -> Column:
@@ -298,4 +339,4 @@ def redacted(records: DataFrame, mask: str = MASK) -> DataFrame:
             rows.append(("".join(out) + x[at:] if spans else x, len(spans)))
         return pd.DataFrame(rows, columns=["text", "n_masked"])
 
-    return spread(records, "record_kind", "record_id").withColumn("_r", udf("text", "language")).select("record_kind", "record_id", F.col("_r.text").alias("text"), F.col("_r.n_masked").alias("n_masked"))
+    return spread(records, "record_kind", "record_id").withColumn("_r", udf.asNondeterministic()("text", "language")).select("record_kind", "record_id", F.col("_r.text").alias("text"), F.col("_r.n_masked").alias("n_masked"))

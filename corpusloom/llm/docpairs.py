@@ -286,4 +286,4 @@ def pairs(files: DataFrame, invalid: DataFrame, repaired: DataFrame | None = Non
         return pd.DataFrame([(clean_doc(d), is_meaningful(d, n, h)) for d, n, h in zip(doc, name, header)], columns=["description", "good"])
 
     found = functions(token_rows(ready)).where("doc is not null")
-    return found.withColumn("_j", judge("doc", "name", "header")).where("_j.good").select("file_id", "line_no", "end_line", "name", "header", F.col("_j.description").alias("description"))
+    return found.withColumn("_j", judge.asNondeterministic()("doc", "name", "header")).where("_j.good").select("file_id", "line_no", "end_line", "name", "header", F.col("_j.description").alias("description"))

@@ -47,7 +47,10 @@ _NAMES = {n: code for code, names in CODES.items() for n in [code, *names.split(
 SIGNS = "぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ"
 _LOG = re.compile(r"^\s*(?:\[?\d{1,4}[-:./]\d{1,2}[-:./]\d{1,4}[^\s]*\]?\s|\[?(?:\d{2}:){2}\d{2}|(?:ERR|ERROR|WARN|WARNING|INFO|DEBUG|TRACE|FATAL)\b|\S+=\S+(?:\s+\S+=\S+)+\s*$|\s*at [\w$.]+\(|Traceback|File \"|\$ |>>> |(?:[+-]{3}|@@) )")
 _SENTENCE = re.compile(r"[^.!?。！？।;；\n]*(?:[.!?;；](?=[\s»”\"')\]]|$)|[。！？।]|\n|[.!?;；](?=\S))?")
+_SIGN_RUN = re.compile(rf"[{SIGNS}]+")
 _QUOTE = re.compile(r"^\s*[«“„\"'「『].*[»”“\"'」』][.,;:]?\s*$")
+_NO_TEXT = re.compile(r"`[^`]*`|https?://\S+|\b\w+[_/]\w[\w/]*|\b[\w-]+\(\)|^[\s#>*•+-]+")
+_INDENTED = re.compile(r"^(?: {4,}|\t)\S.*[;{}()=]\s*$")
 _FENCE = re.compile(r"^\s*(```|~~~)")
 _WORD = re.compile(rf"(?:(?![{SIGNS}])[^\W\d_])[^\W\d_{SIGNS}'’ऀ-ॿ]*(?:['’ऀ-ॿ](?:(?![{SIGNS}])[^\W\d_]|[ऀ-ॿ])*)*")
 
@@ -66,7 +69,7 @@ def segments_of(text: str) -> list[tuple[int, int]]:
         m = _FENCE.match(line)
         if m:
             fence = "" if fence == m[1] else fence or m[1]
-        elif not fence and line.strip() and not _LOG.match(line) and not re.match(r"^(?: {4,}|\t)\S.*[;{}()=]\s*$", line):
+        elif not fence and line.strip() and not _LOG.match(line) and not _INDENTED.match(line):
             for s in _SENTENCE.finditer(line):
                 if s[0].strip():
                     out.append((at + s.start(), at + s.end()))
@@ -76,13 +79,13 @@ def segments_of(text: str) -> list[tuple[int, int]]:
 
 def plain(piece: str) -> str:
     """A segment without inline code, addresses and list marks, in lower case."""
-    return re.sub(r"`[^`]*`|https?://\S+|\b\w+[_/]\w[\w/]*|\b[\w-]+\(\)|^[\s#>*•+-]+", " ", piece).lower()
+    return _NO_TEXT.sub(" ", piece).lower()
 
 
 def features(piece: str) -> list[str]:
     """Runs of characters: signs alone and in pairs where words aren't spaced, else words and their triples."""
     out = []
-    for run in re.findall(rf"[{SIGNS}]+", piece):
+    for run in _SIGN_RUN.findall(piece):
         out += list(run)
         out += [run[i : i + 2] for i in range(len(run) - 1)]
     for w in _WORD.findall(piece):
@@ -92,11 +95,6 @@ def features(piece: str) -> list[str]:
     return out
 
 
-def amount(piece: str) -> tuple[int, int]:
-    """Words and signs of a segment."""
-    return len(_WORD.findall(piece)), len(re.findall(rf"[{SIGNS}]", piece))
-
-
 def fit(keys: DataFrame, texts: DataFrame, documents: int = FIT_DOCUMENTS, keep: int = FIT_FEATURES) -> dict:
     """The model of characters: {"langs": [...], "scores": {feature: [log-likelihoods]}}.
 
@@ -207,13 +205,8 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _runs(piece: str) -> list[str]:
-    """What a segment's likelihood is the sum of: words, and runs of signs."""
-    return [*_WORD.findall(piece), *re.findall(rf"[{SIGNS}]+", piece)]
-
-
-def _likelihoods(model: dict, pieces: list[str]) -> np.ndarray:
-    """Tempered log-likelihoods, a row a segment; those of a word are kept, as words come again and again."""
+def _likelihoods(model: dict, pieces: list[list[str]]) -> np.ndarray:
+    """Tempered log-likelihoods of segments, given by their words and runs of signs; a word's are kept, as words come again and again."""
     scores, n = model["scores"], len(model["langs"])
     known = model.setdefault("words", {})
     if len(known) > KEPT_WORDS:
@@ -221,7 +214,7 @@ def _likelihoods(model: dict, pieces: list[str]) -> np.ndarray:
     zero, rows, starts = np.zeros(n), [], []
     for piece in pieces:
         starts.append(len(rows))
-        for run in _runs(piece):
+        for run in piece:
             v = known.get(run)
             if v is None:
                 got = [scores[f] for f in features(run) if f in scores]
@@ -240,10 +233,15 @@ def _decide(model: dict, texts: list[str], labels: list, repo_ps: list, ending_p
     for d, text in enumerate(texts):
         for a, b in segments_of(text) if n else ():
             piece = plain(text[a:b])
-            words, signs = amount(piece)
+            runs = _WORD.findall(piece)
+            words, signs = len(runs), 0
+            if not piece.isascii():
+                more = _SIGN_RUN.findall(piece)
+                signs = sum(map(len, more))
+                runs += more
             if words + signs and not (_QUOTE.match(text[a:b]) and words + signs / 2 < QUOTE_WORDS):
                 parts.append((a, b, words, signs))
-                pieces.append(piece)
+                pieces.append(runs)
                 doc.append(d)
     out: list[tuple] = [([], []) for _ in texts]
     if not parts:

@@ -72,6 +72,40 @@ def test_credentials(text, lang, lines):
     assert not [s for s in credentials.find(out, lang) if s[3] == "issued"]
 
 
+@pytest.mark.parametrize(
+    ("text", "lang", "found"),
+    [
+        ('password = "correct horse battery"\n', "python", ["correct horse battery"]),
+        ('password = "enter the password"\nerror_password = "must not be empty"\n', "python", []),
+        ('let password = String::from("hunter2-x9");\nlet token: Option<&str> = Some("a1b2-c3d4-e5");\n', "rust", ["hunter2-x9", "a1b2-c3d4-e5"]),
+        ('password = (\n    "hunter2-"\n    "x9-k2"\n)\n', "python", ["hunter2-", "x9-k2"]),
+        ("password: 'it''s-a-2-secret'\nuser: ''\n", "yaml", ["it''s-a-2-secret"]),
+        ('password = load("hunter2-x9")\n', "python", []),
+    ],
+)
+def test_credentials_in_other_shapes(text, lang, found):
+    assert [text[a:b] for _l, a, b, _r in credentials.find(text, lang)] == found
+
+
+def test_redacted_text_lexes_alike(spark):
+    import os
+
+    at = "/root/testdata/sf0.01/input_files.parquet"
+    if not os.path.exists(at):
+        pytest.skip("no test data")
+    rows = spark.read.parquet(at).withColumn("language", credentials.config_language(F.col("name"))).where(F.col("language").isin(credentials.CODE)).select("input_id", F.col("content").alias("text"), "language").collect()
+    n = 0
+    for r in rows:
+        spans = credentials.find(r.text, r.language) if r.text else []
+        out = r.text
+        for _l, a, b, _r in reversed(spans):
+            out = out[:a] + credentials.MASK + out[b:]
+        kinds = [[k for k, _a, _b in credentials.lex(t, r.language) if k not in "wn"] for t in (r.text, out)] if spans else [0, 0]
+        n += bool(spans)
+        assert (r.input_id, kinds[0]) == (r.input_id, kinds[1])
+    assert n > 20
+
+
 def test_credentials_over_tables(spark):
     up = spark.createDataFrame([(1, "r", "a.py", 'token = "ab12cd34ef56"'), (2, "r", None, None), (3, "r", "b\\c.py", 'token = "ab12cd34ef56"')], UP)
     resp = spark.createDataFrame([(9, "pwd: x9-k2-v7\n"), (8, None)], "response_id long, markdown string")
