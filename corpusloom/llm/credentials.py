@@ -161,7 +161,7 @@ def _assigned(toks: list[tuple[str, int, int, str]], i: int, text: str) -> str:
     j = i - 1
     if j > 0 and toks[j][3] == ">" and toks[j - 1][3] == "=":
         j -= 1
-    if not (j > 0 and toks[j][3] in ("=", ":") and toks[j - 1][3] not in ("=", "!", "<", ">")):
+    if not (j > 0 and toks[j][3] in ("=", ":") and not (toks[j - 1][3] in ("=", "!", "<", ">") and toks[j - 1][2] == toks[j][1])):
         return ""
     by = toks[j][3]
     j -= 1
