@@ -291,7 +291,7 @@ def credential_spans(records: DataFrame, text: str, language: str) -> DataFrame:
     def udf(t: pd.Series, lang: pd.Series) -> pd.Series:
         return pd.Series([[dict(zip(("line_no", "start", "stop", "rule"), s)) for s in find(x, y)] for x, y in zip(t, lang)])
 
-    some = F.trim(F.col(text)) != ""
+    some = F.col(text).rlike(r"\S")
     # Not told to be deterministic: a filter on the spans would search the texts a second time, below the spreading.
     return records.where(some).withColumn("spans", udf.asNondeterministic()(F.col(text), F.col(language)))
 

@@ -173,7 +173,7 @@ def token_rows(files: DataFrame) -> DataFrame:
         keys = ("ord", "line", "last", "kind", "text", "step")
         return pd.Series([[dict(zip(keys, r)) for r in rows_of(x, y)] for x, y in zip(t, lang)])
 
-    ready = spread(files.where(F.col("language").isin(CODE) & (F.trim("text") != "")), "file_id")
+    ready = spread(files.where(F.col("language").isin(CODE) & F.col("text").rlike(r"\S")), "file_id")
     return ready.select("file_id", "language", F.explode(udf("text", "language")).alias("r")).select("file_id", "language", "r.*")
 
 

@@ -178,7 +178,7 @@ def judged(documents: DataFrame, with_segments: bool = True) -> DataFrame:
     keys = written(documents.select("doc_id", *evidence).where("label is not null").withColumnRenamed("label", "code"), "p8-keys")
     model = fit(keys, documents.select("doc_id", "text"))
     by_repo, by_ending = (written(x, "p8-prior") for x in priors(keys))
-    some = documents.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select("doc_id", "text", *evidence)
+    some = documents.where(F.col("text").rlike(r"\S")).select("doc_id", "text", *evidence)
     width = 40 * len(model["langs"]) + 100  # bytes of a row of shares
     rows = lookup(lookup(spread(some, "doc_id"), by_repo, ["source_key", "repo_key"], width=width, salt="doc_id"), by_ending, ["ending"], width=width, salt="doc_id")
     shared = documents.sparkSession.sparkContext.broadcast(model)

@@ -189,7 +189,7 @@ def leaked_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
     n = known.count()
     blocks = -(-n // BLOCK) or 1
     out = None
-    docs = spread(documents.select("doc_id", "text").where(F.trim("text") != ""), "doc_id")
+    docs = spread(documents.select("doc_id", "text").where(F.col("text").rlike(r"\S")), "doc_id")
     for k in range(blocks):
         block = known if blocks == 1 else known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         vocabulary, phrases, owners = _phrases([tuple(r) for r in block.orderBy("item_id").toLocalIterator()])

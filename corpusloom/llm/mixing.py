@@ -52,7 +52,7 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
         e = _encoding(vocabulary)
         return pd.Series([len(e.encode_ordinary(x)) for x in t], dtype="int64")
 
-    some = documents.select("doc_id", "source", "text").where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
+    some = documents.select("doc_id", "source", "text").where(F.col("text").rlike(r"\S"))
     return spread(some, "doc_id").select("doc_id", "source", count("text").alias("n_tokens"))
 
 

@@ -34,7 +34,7 @@ def p1_found(s, d):
 
 
 def p1_reasons(s, d):
-    return handwritten.not_handwritten(_uploads(s, d)).groupBy("reason").agg(F.count("*").alias("n_files"))
+    return handwritten.not_handwritten(_uploads(s, d)).groupBy("reason", "rule").agg(F.count("*").alias("n_files"))
 
 
 def p2_found(s, d):

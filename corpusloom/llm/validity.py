@@ -381,7 +381,7 @@ def file_maps(files: DataFrame) -> DataFrame:
 
 def prepared(files: DataFrame) -> DataFrame:
     """(file_id, repo, language, text) of the files that can be a case."""
-    return files.select("file_id", "repo", effective_language("detected_language", F.regexp_replace("relative_path", r"\\", "/")).alias("language"), "text").where(F.col("language").isin(CHECKED) & (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    return files.select("file_id", "repo", effective_language("detected_language", F.regexp_replace("relative_path", r"\\", "/")).alias("language"), "text").where(F.col("language").isin(CHECKED) & F.col("text").rlike(r"\S"))
 
 
 def error_of(language: Column, begin: Column) -> Column:
