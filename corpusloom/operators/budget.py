@@ -8,14 +8,13 @@ fits is taken.  Only that one is written.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import messages as M
 from ..functions.text import approx_tokens, format_limit
 from . import render as R
-from .compress import snippet, strip
+from .compress import snippet
 
 # Modes: 0 is the whole stripped text, others snippets of so many lines.
 MODES = [0, 180, 120, 80, 40, 20, 24, 12, 6]
@@ -33,32 +32,17 @@ def limits(requests: DataFrame) -> DataFrame:
     return requests.withColumn("limit", F.when(n.isNull(), DEFAULT_LIMIT).when((n > 0) & (n <= MOST_LIMIT), n)).withColumn("loc", normalize_locale("locale"))
 
 
-def block_tokens(text: Column, language: Column, words: Column) -> Column:
-    """Tokens of a file's code in each of MODES."""
+def code_in(mode: Column, words: Column) -> Column:
+    """Over ``compress.parts``: a file's code in one of MODES; empty for a file without text."""
+    out = F.when(mode == 0, F.col("stripped"))
+    for m in MODES[1:]:
+        out = out.when(mode == m, snippet(m, words))
+    return F.coalesce(out, F.lit(""))
 
-    @F.pandas_udf("array<int>")
-    def udf(t: pd.Series, g: pd.Series, w: pd.Series) -> pd.Series:
-        out = []
-        for x, y, z in zip(t, g, w):
-            known: dict[str, int] = {}
-            row = []
-            for mode in MODES:
-                code = snippet(x or "", y, list(z) if z is not None else [], mode) if mode else strip(x or "", y)
-                row.append(known.setdefault(code, len(code.split())))
-            out.append(row)
-        return pd.Series(out)
 
-    return udf(text, language, words)
-
-
-def contents(text: Column, language: Column, words: Column, mode: Column) -> Column:
-    """A file's code in the mode that was chosen for it."""
-
-    @F.pandas_udf("string")
-    def udf(t: pd.Series, g: pd.Series, w: pd.Series, m: pd.Series) -> pd.Series:
-        return pd.Series([snippet(x or "", y, list(z) if z is not None else [], int(k)) if k else strip(x or "", y) for x, y, z, k in zip(t, g, w, m)], dtype=object)
-
-    return udf(text, language, words, mode)
+def block_tokens(words: Column) -> Column:
+    """Over ``compress.parts``: tokens of a file's code in each of MODES; the file was taken apart once."""
+    return F.array(*[approx_tokens(code_in(F.lit(m), words)).cast("int") for m in MODES])
 
 
 def sized(ranked: DataFrame, edges: DataFrame) -> DataFrame:
@@ -164,15 +148,15 @@ def filled(chosen: DataFrame, files: DataFrame, requests: DataFrame) -> DataFram
 def documents(chosen: DataFrame, files: DataFrame, edges: DataFrame, requests: DataFrame) -> DataFrame:
     """(request_id, markdown, tokens, compression_warning) of every chosen document.
 
-    ``files`` carries text and the task's ``words``; only files that a
-    document holds are read again, and each only in its mode.
+    ``files`` carries the task's ``words`` and ``compress.parts``; only the
+    files that a document holds are written, and each only in its mode.
     """
     loc = F.col("loc")
     order = Window.partitionBy("request_id", "priority").orderBy("rank_ord")
     plan = chosen.join(requests.select("request_id", F.coalesce("task", F.lit("")).alias("task"), "loc"), "request_id")
     part = files.drop("loc", "task", "limit").withColumn("_k", F.row_number().over(order)).join(plan, "request_id")
     part = part.where(((F.col("priority") == "HIGH") & (F.col("_k") <= F.col("n_high"))) | ((F.col("priority") == "MEDIUM") & (F.col("_k") <= F.col("n_medium"))))
-    part = part.withColumn("_mode", F.when(F.col("priority") == "HIGH", F.col("mode")).otherwise(0)).withColumn("code", contents(F.col("text"), F.col("language"), F.col("words"), F.col("_mode")))
+    part = part.withColumn("_mode", F.when(F.col("priority") == "HIGH", F.col("mode")).otherwise(0)).withColumn("code", code_in(F.col("_mode"), F.col("words")))
     inside = part.select("request_id", "relative_path")
     kept = edges.join(inside.withColumnRenamed("relative_path", "dst"), ["request_id", "dst"], "left_semi").join(inside.withColumnRenamed("relative_path", "src"), ["request_id", "src"], "left_semi")
     deps = kept.groupBy("request_id", F.col("src").alias("relative_path")).agg(F.slice(F.array_sort(F.collect_list("dst")), 1, 6).alias("deps"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import language_of
 from ..functions.text import summary, terms
-from ..operators import budget, imports, rank, render, resolve, scan
+from ..operators import budget, compress, imports, rank, render, resolve, scan
 from ..sources.tables import cut, written
 
 
@@ -52,12 +52,15 @@ def build(inputs: DataFrame, requests: DataFrame) -> Context:
     """Documents of all requests within their token limits."""
     corpus = written(request_corpus(inputs, requests), "corpus")
     ranked, edges = ranked_files(corpus)
-    with_text = ranked.join(corpus.select("request_id", "relative_path", "text"), ["request_id", "relative_path"])
-    sized = cut(budget.sized(with_text.withColumn("code_tokens", budget.block_tokens(F.col("text"), F.col("language"), F.col("words"))).drop("text"), edges))
+    # Every file is taken apart once; sizes and documents are made from its parts.
+    ids = ["request_id", "relative_path"]
+    apart = written(compress.parts(corpus.join(ranked.select(*ids), ids, "left_semi"), ids), "parts")
+    with_parts = ranked.join(apart, ids, "left")
+    sized = cut(budget.sized(with_parts.withColumn("code_tokens", budget.block_tokens(F.col("words"))).drop("stripped", "skeleton", "lines", "declarations"), edges))
     ok = budget.limits(requests).join(corpus.select("request_id").distinct(), "request_id", "left_semi")
     tried = cut(budget.attempts(sized, ok))
     choice = cut(budget.filled(budget.first_fit(tried), sized, ok))
-    documents = budget.documents(choice, with_text, edges, ok)
+    documents = budget.documents(choice, with_parts, edges, ok)
     return Context(sized, edges, documents, choice, tried)
 
 

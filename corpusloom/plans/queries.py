@@ -458,30 +458,108 @@ def _code(s, d):
     return _sources(s, d).where("text is not null").select("file_id", "language", "text")
 
 
-@query("strip_comments")
+def _masked(x: str) -> str:
+    for plain, one in compress._ESCAPES:
+        x = f"replace({x}, '{plain.replace(chr(39), chr(39) * 2)}', '{one}')"
+    return x
+
+
+def _unmasked(x: str) -> str:
+    for plain, one in reversed(compress._ESCAPES):
+        x = f"replace({x}, '{one}', '{plain.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
+def _sub(x: str, pattern: str, by: str = "") -> str:
+    return f"regexp_replace({x}, '{pattern.replace(chr(39), chr(39) * 2)}', '{by}', 'g')"
+
+
+def _is(x: str, pattern: str) -> str:
+    return f"regexp_matches({x}, '{pattern.replace(chr(39), chr(39) * 2)}')"
+
+
+NOT_PYTHON = f"src AS (SELECT file_id, text FROM source_files WHERE text IS NOT NULL AND coalesce(nullif(detected_language, 'unknown'), {lang_sql(NORMP)}) <> 'python')"
+_STRIP = _sub(_sub(_sub(_masked(f"replace({_sub('text', compress.BLOCK)}, chr(13) || chr(10), chr(10))"), compress.COMMENT, "\\1"), compress.BLANK_LINES, "\n"), compress.BLANK_ENDS)
+
+
+def _opens(x: str) -> str:
+    return f"contains({_sub(x, compress.OPENING, chr(92) + '1')}, '/*')"
+
+
+LINE_CTE = f"""{NOT_PYTHON}, ln AS (SELECT file_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS n FROM (SELECT file_id, string_split(replace(text, chr(13) || chr(10), ' ' || chr(10)), chr(10)) AS l FROM src)),
+ mk AS (SELECT *, {_masked('line')} AS m, substring({_masked('line')}, instr({_masked('line')}, '*/') + 2) AS rest, contains({_masked('line')}, '*/') AS closes FROM ln),
+ st AS (SELECT *, CASE WHEN {_opens('m')} = (NOT closes OR {_opens('rest')}) THEN {_opens('m')} END AS says FROM mk),
+ ins AS (SELECT *, coalesce(last_value(says IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS inside FROM st),
+ sh AS (SELECT *, {_sub("CASE WHEN NOT inside THEN m WHEN closes THEN rest ELSE '' END", compress.BLOCK)} AS s FROM ins),
+ cd AS (SELECT *, {_sub(_sub("CASE WHEN " + _opens('s') + " THEN " + _sub('s', '(?s)/[*].*') + " ELSE s END", compress.COMMENT, chr(92) + '1'), '[ \\t\\n\\f\\r\\x0b]+\\z')} AS c FROM sh),
+ rw AS (SELECT file_id, n, sum(length(line) + 1) OVER w - length(line) - 1 AS place, line, {_unmasked('c')} AS code, {_sub('c', compress.QUOTED)} AS bare FROM cd WINDOW w AS (PARTITION BY file_id ORDER BY n)),
+ lr AS (SELECT *, length(bare) - length(replace(bare, chr(123), '')) AS up, length(bare) - length(replace(bare, chr(125), '')) AS down, length(regexp_extract(bare, '^([^{{]*)', 1)) - length(replace(regexp_extract(bare, '^([^{{]*)', 1), chr(125), '')) AS fd FROM rw)"""
+KIND = f"CASE WHEN {_is('code', compress.CLASSES)} THEN 'class' WHEN {_is('code', compress.FUNCTIONS)} OR {_is('code', compress.BOUND)} OR ({_is('code', compress.TYPED)} AND NOT {_is('code', compress.CONTROL)}) THEN 'function' END"
+SIGN = "rtrim(regexp_extract(code, '^([^{;]*)', 1))"
+# A block ends at the first later line that comes down to its level: here by comparing lines, not by levels.
+DECL_CTE = f"""{LINE_CTE}, dp AS (SELECT *, sum(up - down) OVER (PARTITION BY file_id ORDER BY n) AS aft, {KIND} AS kind, regexp_matches(lead(code) OVER (PARTITION BY file_id ORDER BY n), '^[ \\t]*[{{]') AS nx FROM lr),
+ dl AS (SELECT *, aft - up + down AS bef, least(aft - up + down - fd, aft) AS low FROM dp),
+ ds AS (SELECT h.file_id, h.n, h.place, h.kind, h.code, CASE WHEN h.kind = 'function' AND (h.aft > h.bef OR coalesce(h.nx, false)) THEN coalesce((SELECT min(x.n) FROM dl x WHERE x.file_id = h.file_id AND x.n > h.n AND x.low <= h.bef AND x.bef > h.bef), h.n) ELSE h.n END AS last_n FROM dl h WHERE h.kind IS NOT NULL)"""
+_PAD = "regexp_extract(code, '^([ \\t]*)', 1)"
+SHOWN = f"CASE WHEN regexp_matches(code, ';[ \\t]*$') THEN {SIGN} || ';' WHEN {SIGN} LIKE '%:' THEN {SIGN} || chr(10) || {_PAD} || '  {compress.HIDDEN}' ELSE {SIGN} || ' ' || chr(123) || chr(10) || {_PAD} || '  {compress.HIDDEN}' || chr(10) || {_PAD} || chr(125) END"
+
+
+@query("strip_comments", f"WITH {NOT_PYTHON} SELECT file_id, {_unmasked(_STRIP)} AS code FROM src")
 def strip_comments(s, d):
-    return _code(s, d).select("file_id", compress.stripped(F.col("text"), F.col("language")).alias("code"))
+    return _code(s, d).where("language <> 'python'").select("file_id", compress.stripped(F.col("text")).alias("code"))
+
+
+@query("strip_python")
+def strip_python(s, d):
+    return _code(s, d).where("language = 'python'").select("file_id", compress.python_parts(F.col("text"))["stripped"].alias("code"))
+
+
+def _parts(s, d, python: bool | None = None):
+    f = _code(s, d)
+    return compress.parts(f if python is None else f.where(f"(language = 'python') = {python}"), ["file_id"])
+
+
+@query("code_lines", f"WITH {LINE_CTE} SELECT file_id, n::INT AS n, place::INT AS place, code, up::INT AS up, down::INT AS down FROM lr")
+def code_lines(s, d):
+    rows = compress.line_rows(_code(s, d).where("language <> 'python'"), ["file_id"])
+    return rows.select("file_id", "n", F.col("place").cast("int").alias("place"), "code", "up", "down")
 
 
-@query("skeletons")
+@query("skeletons", f"""WITH {DECL_CTE}, tw AS (SELECT *, row_number() OVER (PARTITION BY file_id, regexp_replace({SIGN}, '\\s+', ' ', 'g') ORDER BY n) AS k FROM ds)
+    SELECT src.file_id, coalesce(string_agg({SHOWN}, chr(10) ORDER BY n), '{compress.HIDDEN}') AS code FROM src LEFT JOIN tw ON tw.file_id = src.file_id AND k = 1 GROUP BY src.file_id""")
 def skeletons(s, d):
-    return _code(s, d).select("file_id", compress.skeletons(F.col("text"), F.col("language")).alias("code"))
+    return _parts(s, d, False).select("file_id", F.col("skeleton").alias("code"))
+
+
+@query("skeletons_python")
+def skeletons_python(s, d):
+    return _parts(s, d, True).select("file_id", F.col("skeleton").alias("code"))
 
 
 @query("smart_snippets")
 def smart_snippets(s, d):
-    return _code(s, d).select("file_id", compress.snippets(F.col("text"), F.col("language"), virtual.words(), 40).alias("code"))
+    return _parts(s, d, False).select("file_id", compress.snippet(12, virtual.words()).alias("code"))
+
 
+@query("smart_snippets_python")
+def smart_snippets_python(s, d):
+    return _parts(s, d, True).select("file_id", compress.snippet(12, virtual.words()).alias("code"))
 
-@query("declarations")
+
+@query("declarations", f"WITH {DECL_CTE} SELECT ds.file_id, kind, ds.place::INT AS start_offset, (e.place + length(rtrim(e.line)))::INT AS end_offset, ds.n::INT AS start_line, last_n::INT AS end_line, signature FROM (SELECT *, {SIGN} AS signature FROM ds) ds JOIN lr e ON e.file_id = ds.file_id AND e.n = last_n")
 def declarations(s, d):
-    return compress.declaration_rows(_code(s, d), ["file_id"])
+    return compress.declaration_rows(_code(s, d).where("language <> 'python'"), ["file_id"])
+
+
+@query("declarations_python")
+def declarations_python(s, d):
+    return compress.declaration_rows(_code(s, d).where("language = 'python'"), ["file_id"])
 
 
 @query("sift_dispatch")
 def sift_dispatch(s, d):
     p = F.element_at(F.array(*map(F.lit, ["HIGH", "MEDIUM", "LOW"])), (F.pmod("file_id", F.lit(3)) + 1).cast("int"))
-    return _code(s, d).withColumn("priority", p).select("file_id", "priority", compress.sifted(F.col("text"), F.col("language"), F.col("priority"), low_code=False).alias("code"))
+    return _parts(s, d).withColumn("priority", p).select("file_id", "priority", compress.sifted(F.col("priority"), low_code=False).alias("code"))
 
 
 # ---- budgets and documents -----------------------------------------------------

@@ -100,25 +100,46 @@ def test_running_numbers_match_a_window(spark):
             assert got[i] == (n, total)
 
 
-def test_strip_and_skeleton():
-    assert compress.strip_generic('int a; // x\n/* b */\nchar *s = "// no"; # y\n#define X 1\n') == 'int a;\nchar *s = "// no";\n#define X 1'
+def apart(spark, text, language):
+    return compress.parts(spark.createDataFrame([(1, text, language)], "id long, text string, language string"), ["id"])
+
+
+def test_strip_and_skeleton(spark):
+    (c,) = apart(spark, 'int a; // x\n/* b */\nchar *s = "// \\" no"; # y\n\n#define X 1\n', "c").collect()
+    assert c.stripped == 'int a;\nchar *s = "// \\" no";\n#define X 1' and c.lines == c.stripped.split("\n") and c.skeleton == compress.HIDDEN
     assert compress.strip_python("x = 1  # c\n\n# d\ny = '#'\n") == "x = 1\ny = '#'"
-    assert compress.skeleton_generic("class A {\n  fun b(c: Int): Int {\n    return 1\n  }\n}") == "class A {\n  [implementation hidden]\n}\n  fun b(c: Int): Int {\n    [implementation hidden]\n  }"
-    assert compress.skeleton_python('def f(a):\n    """doc"""\n    return a') == 'def f(a):\n    """doc"""\n    [implementation hidden]'
-    assert compress.skeleton("", "go") == compress.HIDDEN
+    (k,) = apart(spark, "/* fun old() {\n */ class A {\n  fun b(c: Int): Int {\n    return 1 // }\n  }\n}", "kotlin").collect()
+    assert k.skeleton == "class A {\n  [implementation hidden]\n}\n  fun b(c: Int): Int {\n    [implementation hidden]\n  }".replace("class", " class").replace("\n  [implementation hidden]\n}\n", "\n   [implementation hidden]\n }\n", 1)
+    (p,) = apart(spark, 'def f(a):\n    """doc"""\n    return a', "python").collect()
+    assert p.skeleton == 'def f(a):\n    """doc"""\n    [implementation hidden]'
+    assert apart(spark, "", "go").collect()[0].skeleton == compress.HIDDEN and apart(spark, None, "go").count() == apart(spark, None, "python").count() == 0
+    (z,) = apart(spark, "pub const W = struct {\n    x: u8,\n};\npub fn draw(w: W) void {\n    go();\n}\n", "unknown").collect()
+    assert [(d.kind, d.n, d.last_n) for d in z.declarations] == [("class", 0, 0), ("function", 3, 5)]
 
 
-def test_snippet_keeps_matching_declarations():
+def test_snippet_keeps_matching_declarations(spark):
     text = "class Main {\n" + "".join(f"  fun step{i}() {{\n    work({i})\n  }}\n" for i in range(30)) + "  fun navigate() {\n    go()\n  }\n}"
-    out = compress.snippet(text, "kotlin", ["navigate"], 20)
-    assert "fun navigate()" in out and "step3" not in out
+    words = F.array(F.lit("navigate"))
+    (out,) = apart(spark, text, "kotlin").select(compress.snippet(20, words).alias("s"), compress.snippet(2, words).alias("t")).collect()
+    assert out.s == "  fun navigate() {\n    go()\n  }" and out.t == "  fun navigate() {\n..."
+    (py,) = apart(spark, "class A:\n" + "".join(f"    def step{i}(self):\n        return {i}\n" for i in range(30)) + "    def navigate(self):\n        return 0\n", "python").select(compress.snippet(20, words).alias("s")).collect()
+    assert py.s == "    def navigate(self):\n        return 0"
+
+
+def test_very_long_lines_and_escapes(spark):
+    (r,) = apart(spark, 'x = "' + '\\"a' * 200_000 + '" // y\n' + "{" * 5000, "javascript").collect()
+    assert r.stripped.endswith("{") and "// y" not in r.stripped
 
 
-def test_declarations_have_offsets():
+def test_declarations_have_offsets(spark):
     text = "x = 1\ndef f(a):\n    return a\n\nclass B:\n    pass\n"
-    d = compress.declarations(text, "python")
-    assert [(k, s, e, sig) for k, _a, _b, s, e, sig in d] == [("function", 1, 2, "def f(a):"), ("class", 4, 5, "class B:")]
-    assert text[d[0][1] : d[0][2]] == "def f(a):\n    return a\n"
+    java = "class A {\n\tint f(int a) {\n\t\tif (a > 1) { return 2; } else {\n\t\t\treturn 3;\n\t\t}\n\t}\n\tint g()\n\t{\n\t}\n\tint h() { return 1; }\n}\n"
+    rows = spark.createDataFrame([(1, text, "python"), (2, java, "java"), (3, "def (", "python")], "id long, text string, language string")
+    d = sorted(compress.declaration_rows(rows, ["id"]).collect(), key=lambda r: (r.id, r.start_line))
+    assert [(r.kind, r.start_line, r.end_line, r.signature) for r in d if r.id == 1] == [("function", 1, 2, "def f(a):"), ("class", 4, 4, "class B:")]
+    assert text[d[0].start_offset : d[0].end_offset] == "def f(a):\n    return a\n"
+    assert [(r.kind, r.start_line, r.end_line) for r in d if r.id == 2] == [("class", 0, 0), ("function", 1, 5), ("function", 6, 8), ("function", 9, 9)]
+    assert java[d[3].start_offset : d[3].end_offset] == java[java.index("\tint f") : java.index("\n\tint g")]
 
 
 def test_names_are_normalised_and_deduplicated(spark):
