@@ -32,17 +32,17 @@ def limits(requests: DataFrame) -> DataFrame:
     return requests.withColumn("limit", F.when(n.isNull(), DEFAULT_LIMIT).when((n > 0) & (n <= MOST_LIMIT), n)).withColumn("loc", normalize_locale("locale"))
 
 
-def code_in(mode: Column, words: Column) -> Column:
-    """Over ``compress.parts``: a file's code in one of MODES; empty for a file without text."""
+def code_in(mode: Column) -> Column:
+    """Over ``compress.parts`` with pieces: a file's code in one of MODES; empty for a file without text."""
     out = F.when(mode == 0, F.col("stripped"))
     for m in MODES[1:]:
-        out = out.when(mode == m, snippet(m, words))
+        out = out.when(mode == m, snippet(m))
     return F.coalesce(out, F.lit(""))
 
 
-def block_tokens(words: Column) -> Column:
-    """Over ``compress.parts``: tokens of a file's code in each of MODES; the file was taken apart once."""
-    return F.array(*[approx_tokens(code_in(F.lit(m), words)).cast("int") for m in MODES])
+def block_tokens() -> Column:
+    """Over ``compress.parts`` with pieces: tokens of a file's code in each of MODES; the file was taken apart once."""
+    return F.array(*[approx_tokens(F.coalesce(snippet(m) if m else F.col("stripped"), F.lit(""))).cast("int") for m in MODES])
 
 
 def sized(ranked: DataFrame, edges: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def filled(chosen: DataFrame, files: DataFrame, requests: DataFrame) -> DataFram
 def documents(chosen: DataFrame, files: DataFrame, edges: DataFrame, requests: DataFrame) -> DataFrame:
     """(request_id, markdown, tokens, compression_warning) of every chosen document.
 
-    ``files`` carries the task's ``words`` and ``compress.parts``; only the
+    ``files`` carries ``compress.parts`` and the task's pieces; only the
     files that a document holds are written, and each only in its mode.
     """
     loc = F.col("loc")
@@ -156,7 +156,7 @@ def documents(chosen: DataFrame, files: DataFrame, edges: DataFrame, requests: D
     plan = chosen.join(requests.select("request_id", F.coalesce("task", F.lit("")).alias("task"), "loc"), "request_id")
     part = files.drop("loc", "task", "limit").withColumn("_k", F.row_number().over(order)).join(plan, "request_id")
     part = part.where(((F.col("priority") == "HIGH") & (F.col("_k") <= F.col("n_high"))) | ((F.col("priority") == "MEDIUM") & (F.col("_k") <= F.col("n_medium"))))
-    part = part.withColumn("_mode", F.when(F.col("priority") == "HIGH", F.col("mode")).otherwise(0)).withColumn("code", code_in(F.col("_mode"), F.col("words")))
+    part = part.withColumn("_mode", F.when(F.col("priority") == "HIGH", F.col("mode")).otherwise(0)).withColumn("code", code_in(F.col("_mode")))
     inside = part.select("request_id", "relative_path")
     kept = edges.join(inside.withColumnRenamed("relative_path", "dst"), ["request_id", "dst"], "left_semi").join(inside.withColumnRenamed("relative_path", "src"), ["request_id", "src"], "left_semi")
     deps = kept.groupBy("request_id", F.col("src").alias("relative_path")).agg(F.slice(F.array_sort(F.collect_list("dst")), 1, 6).alias("deps"))

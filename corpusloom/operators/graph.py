@@ -32,23 +32,22 @@ def undirected(edges: DataFrame, keys: list[str]) -> DataFrame:
 def distances(edges: DataFrame, seeds: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
     """(keys, node, distance): steps from the nearest seed, along edges in either direction.
 
-    One join a level; a level is written to the shared folder, so lineage does
-    not grow and lost executors cost one level.  Unreached nodes have no row.
+    One join a level.  The edges are spread by both ends, so a hub's lie in many
+    tasks; a level's nodes are broadcast while they are few and otherwise
+    repeated over salts.  A level is written to the shared folder, so lineage
+    does not grow and lost executors cost one level.  Unreached nodes have no row.
     """
-    und = cut(undirected(edges, keys).repartition(*keys, "src"))
-    frontier = cut(seeds.select(*keys, "node").distinct().withColumn("distance", F.lit(0)))
-    levels, seen, d = [frontier], frontier, 0
+    und = cut(undirected(edges, keys).withColumnRenamed("src", "node"))
+    seen = frontier = cut(seeds.select(*keys, "node").distinct().withColumn("distance", F.lit(0)))
+    d = 0
     while most is None or d < most:
         d += 1
-        step = lookup(und.withColumnRenamed("src", "node"), frontier.select(*keys, "node"), [*keys, "node"], how="inner")
+        step = lookup(und, frontier.select(*keys, "node"), [*keys, "node"], how="inner", salt="dst")
         step = step.select(*keys, F.col("dst").alias("node")).distinct().join(seen.select(*keys, "node"), [*keys, "node"], "left_anti")
         frontier = cut(step.withColumn("distance", F.lit(d)))
         if frontier.isEmpty():
             break
-        levels.append(frontier)
-        seen = levels[0]
-        for one in levels[1:]:
-            seen = seen.unionByName(one)
+        seen = seen.unionByName(frontier)
     return seen
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions.text import lexical_score
+from ..sources.tables import cut
 from .graph import distances, in_degree, seeds
 
 # Fixed values of the score.
@@ -98,7 +99,7 @@ def features(files: DataFrame, edges: DataFrame, keys: list[str], words: Column)
     starts from its entry points.
     """
     with_s = scored(files, words).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)))
-    light = with_s.drop("text")
+    light = cut(with_s.drop("text"))  # scored once: seeds and scores read it again
     start = seeds(light.select(*keys, "relative_path", "scan_ord", "lexical_score"), keys, C.name_of("relative_path").isin(FALLBACK_NAMES))
     dist = distances(edges, start, keys).withColumnRenamed("distance", "graph_distance")
     degree = in_degree(files.select(*keys, "relative_path"), edges, keys).select(*keys, "node", "centrality")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_import
+from ..sources.tables import salted
 
 # Endings tried, in order.
 JS = ["ts", "tsx", "js", "jsx", "mjs", "cjs"]
@@ -117,7 +118,13 @@ def resolved(found: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
         F.array(F.struct(F.col("candidate").alias("key"), F.lit(False).alias("_pkg")))
     )
     hits = both.select(*keys, "src", "import_name", "cand_ord", F.explode(probes).alias("_q")).select(*keys, "src", "import_name", "cand_ord", "_q.*")
-    hits = hits.join(table, [*keys, "key"]).where(F.col("_pkg") == (F.col("kind") == 2))
+    # Many imports probe one key: the keys are made distinct before the shuffle, and what they
+    # found, one row a key, is repeated over salts for the imports that share it.
+    wanted = hits.select(*keys, "key").distinct()
+    at = lambda k: F.max(F.when(F.col("kind") == k, F.col("path"))).alias(f"_{k}")
+    known = table.join(wanted, [*keys, "key"], "left_semi").groupBy(*keys, "key").agg(at(0), at(2), at(3))
+    hits = salted(hits, known, [*keys, "key"], ["src", "import_name", "cand_ord"])
+    hits = hits.withColumn("path", F.when(F.col("_pkg"), F.col("_2")).otherwise(F.coalesce("_0", "_3"))).withColumn("kind", F.when(F.col("_pkg"), 2).when(F.col("_0").isNotNull(), 0).otherwise(3)).where("path is not null")
     best = F.min_by("path", F.struct("cand_ord", "kind"))
     return hits.groupBy(*keys, "src", "import_name").agg(best.alias("dst"))
 

@@ -54,9 +54,10 @@ def build(inputs: DataFrame, requests: DataFrame) -> Context:
     ranked, edges = ranked_files(corpus)
     # Every file is taken apart once; sizes and documents are made from its parts.
     ids = ["request_id", "relative_path"]
-    apart = written(compress.parts(corpus.join(ranked.select(*ids), ids, "left_semi"), ids), "parts")
-    with_parts = ranked.join(apart, ids, "left")
-    sized = cut(budget.sized(with_parts.withColumn("code_tokens", budget.block_tokens(F.col("words"))).drop("stripped", "skeleton", "lines", "declarations"), edges))
+    apart = compress.parts(corpus.join(ranked.select(*ids), ids, "left_semi"), ids)
+    with_parts = ranked.join(apart, ids, "left").withColumn("pieces", compress.pieces(F.col("words"))).drop("lines", "declarations")
+    with_parts = written(with_parts, "parts")
+    sized = cut(budget.sized(with_parts.withColumn("code_tokens", budget.block_tokens()).drop("stripped", "skeleton", "pieces"), edges))
     ok = budget.limits(requests).join(corpus.select("request_id").distinct(), "request_id", "left_semi")
     tried = cut(budget.attempts(sized, ok))
     choice = cut(budget.filled(budget.first_fit(tried), sized, ok))

@@ -538,12 +538,12 @@ def skeletons_python(s, d):
 
 @query("smart_snippets")
 def smart_snippets(s, d):
-    return _parts(s, d, False).select("file_id", compress.snippet(12, virtual.words()).alias("code"))
+    return _parts(s, d, False).withColumn("pieces", compress.pieces(virtual.words())).select("file_id", compress.snippet(12).alias("code"))
 
 
 @query("smart_snippets_python")
 def smart_snippets_python(s, d):
-    return _parts(s, d, True).select("file_id", compress.snippet(12, virtual.words()).alias("code"))
+    return _parts(s, d, True).withColumn("pieces", compress.pieces(virtual.words())).select("file_id", compress.snippet(12).alias("code"))
 
 
 @query("declarations", f"WITH {DECL_CTE} SELECT ds.file_id, kind, ds.place::INT AS start_offset, (e.place + length(rtrim(e.line)))::INT AS end_offset, ds.n::INT AS start_line, last_n::INT AS end_line, signature FROM (SELECT *, {SIGN} AS signature FROM ds) ds JOIN lr e ON e.file_id = ds.file_id AND e.n = last_n")

@@ -13,7 +13,7 @@ from ..functions.classify import language_of
 from ..functions.text import terms
 from ..operators import imports as I
 from ..operators import resolve
-from ..sources.tables import cut, table
+from ..sources.tables import cut, spread, table
 
 TASK = "fix the roster ledger with an invoice"
 
@@ -47,12 +47,27 @@ def text_sql() -> str:
     return f"concat({', '.join(lines)}, coalesce(text, ''))"
 
 
+_MADE: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, what: str, make) -> DataFrame:
+    """A table of the made repository, written once an application."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _MADE:
+        _MADE[key] = cut(make())
+    return _MADE[key]
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, relative_path, text, language, scan_ord) of the made repository."""
-    d = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("path", F.expr(path_sql("doc_id")))
-    out = d.select("doc_id", F.col("path").alias("relative_path"), F.expr(text_sql()).alias("text"), F.col("doc_id").alias("scan_ord"))
-    # Cut: filters on text and path would otherwise be pushed into the rules above, over and over.
-    return cut(out.withColumn("language", language_of("relative_path")))
+
+    def make() -> DataFrame:
+        d = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("path", F.expr(path_sql("doc_id")))
+        out = d.select("doc_id", F.col("path").alias("relative_path"), F.expr(text_sql()).alias("text"), F.col("doc_id").alias("scan_ord"))
+        return spread(out.withColumn("language", language_of("relative_path")), "doc_id")
+
+    # Written: filters on text and path would otherwise be pushed into the rules above, over and over.
+    return _once(spark, sf_dir, "files", make)
 
 
 def words() -> Column:
@@ -64,9 +79,9 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of the made repository, extracted and resolved; cut, as the graph operators read them often."""
+    """Edges of the made repository, extracted and resolved; written, as the graph operators read them often."""
     f = files(spark, sf_dir)
-    return cut(resolve.edges(I.imports(f, [], exact_python=False), f, []))
+    return _once(spark, sf_dir, "edges", lambda: resolve.edges(I.imports(f, [], exact_python=False), f, []))
 
 
 # The same for DuckDB; which imports resolve follows from the languages' endings.

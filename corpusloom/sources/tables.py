@@ -54,12 +54,11 @@ def written(df: DataFrame, label: str = "stage", partition_by: list[str] | None
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` with the folder set if the session has none."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-        removed_at_end(spark, spark.sparkContext.getCheckpointDir())
-    return df.checkpoint()
+    """``df`` written and read back: its lineage ends there.
+
+    A checkpoint would do the same, but computes its rows twice.
+    """
+    return written(df, "cut")
 
 
 def spread(df: DataFrame, *keys: str, per_core: int = 2) -> DataFrame:
@@ -87,6 +86,15 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], width: int = 200,
     """
     if right.limit(BROADCAST_BYTES // width + 1).count() <= BROADCAST_BYTES // width:
         return left.join(F.broadcast(right), keys, how)
-    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    by = [F.col(salt)] if salt else [F.col(c) for c, t in left.dtypes if "map<" not in t]
-    return left.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
+    by = [salt] if salt else [c for c, t in left.dtypes if "map<" not in t]
+    return salted(left, right, keys, by, salts, how)
+
+
+def salted(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], salts: int = 8, how: str = "inner") -> DataFrame:
+    """Join with ``right``, few rows a key, repeated over salts; ``left`` draws its salt from the columns ``by``.
+
+    A key that a third of the left side holds then meets in as many tasks as
+    there are salts.  Keys without a partner cost the repetitions only.
+    """
+    many = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).join(many, [*keys, "_salt"], how).drop("_salt")

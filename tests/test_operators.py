@@ -120,9 +120,9 @@ def test_strip_and_skeleton(spark):
 def test_snippet_keeps_matching_declarations(spark):
     text = "class Main {\n" + "".join(f"  fun step{i}() {{\n    work({i})\n  }}\n" for i in range(30)) + "  fun navigate() {\n    go()\n  }\n}"
     words = F.array(F.lit("navigate"))
-    (out,) = apart(spark, text, "kotlin").select(compress.snippet(20, words).alias("s"), compress.snippet(2, words).alias("t")).collect()
+    (out,) = apart(spark, text, "kotlin").withColumn("pieces", compress.pieces(words)).select(compress.snippet(20).alias("s"), compress.snippet(2).alias("t")).collect()
     assert out.s == "  fun navigate() {\n    go()\n  }" and out.t == "  fun navigate() {\n..."
-    (py,) = apart(spark, "class A:\n" + "".join(f"    def step{i}(self):\n        return {i}\n" for i in range(30)) + "    def navigate(self):\n        return 0\n", "python").select(compress.snippet(20, words).alias("s")).collect()
+    (py,) = apart(spark, "class A:\n" + "".join(f"    def step{i}(self):\n        return {i}\n" for i in range(30)) + "    def navigate(self):\n        return 0\n", "python").withColumn("pieces", compress.pieces(words)).select(compress.snippet(20).alias("s")).collect()
     assert py.s == "    def navigate(self):\n        return 0"
 
 
