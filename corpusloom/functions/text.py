@@ -74,6 +74,11 @@ def format_tokens(n: Column) -> Column:
     return F.when(n >= 1000, F.concat(F.format_number(n / 1000, 1), F.lit("k"))).otherwise(n.cast("string"))
 
 
+def format_cost(tokens: Column) -> Column:
+    """What tokens cost, in dollars and cents."""
+    return F.concat(F.lit("$"), F.format_number(tokens * COST_PER_TOKEN, 2))
+
+
 def trim_line(line: Column, most: int = 220) -> Column:
     return F.when(F.length(line) > most, F.concat(F.rtrim(F.substring(line, 1, most)), F.lit(" ..."))).otherwise(line)
 

@@ -19,6 +19,17 @@ def cleaned(events: DataFrame) -> DataFrame:
     return e.join(first.select("event_id"), "event_id", "left_semi")
 
 
+def created(requests: DataFrame, at: str = "created_at") -> DataFrame:
+    """The first event of each request's job, in the form of the event log; append it there.
+
+    The job's name is made of the request's id, so creating it twice is one event.
+    """
+    return requests.select(
+        F.concat(F.lit("job-"), F.col("request_id").cast("string")).alias("job_id"), "request_id", F.col(at).alias("ts"), F.lit("queued").alias("status"), F.lit(0).alias("progress"),
+        F.lit("Queued").alias("message"), F.lit("jobQueued").alias("message_code"), F.lit(None).cast("string").alias("result_json"), F.lit(None).cast("string").alias("error"),
+    ).dropDuplicates(["job_id"])
+
+
 def clamp(progress: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), progress))
 

@@ -97,3 +97,28 @@ def with_language(files: DataFrame) -> DataFrame:
 def ordered_lines(line: Column, by: Column, sep: str = "\n") -> Column:
     """Aggregate: lines joined in the order of ``by``."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by.alias("o"), line.alias("l")))), lambda x: x["l"]), sep)
+
+
+def groups(files: DataFrame) -> DataFrame:
+    """(request_id, body): a request's files by priority, the whole ladder of forms.
+
+    HIGH files show their code, MEDIUM ones their skeleton, LOW ones a line of
+    summary.  ``files`` are ranked, with ``stripped`` and ``skeleton``.
+    """
+    loc = F.col("loc")
+    code = F.coalesce(F.when(F.col("priority") == "HIGH", F.col("stripped")).otherwise(F.col("skeleton")), F.lit(""))
+    block = F.concat_ws("\n", block_head(loc), code, F.lit(BLOCK_TAIL))
+    bullet = F.concat(F.lit("- `"), F.col("relative_path"), F.lit("`: "), F.col("summary"), F.lit("."))
+    parts = files.groupBy("request_id", "loc").agg(*[ordered_lines(F.when(F.col("priority") == p, bullet if p == "LOW" else block), F.col("rank_ord")).alias(p) for p in ("HIGH", "MEDIUM", "LOW")])
+    shown = [F.when(F.col(p) != "", F.concat(heading(p, loc), F.col(p))) for p in ("HIGH", "MEDIUM", "LOW")]
+    return parts.select("request_id", F.concat_ws("\n", *shown).alias("body"))
+
+
+def write_markdown(documents: DataFrame, folder: str, key: str, markdown: str = "markdown") -> None:
+    """Write each document as a text file of its own, in a folder ``key=...``; null documents give none."""
+    documents.where(F.col(markdown).isNotNull()).select(key, F.col(markdown).alias("value")).write.mode("overwrite").partitionBy(key).text(folder)
+
+
+def read_markdown(spark, folder: str, key: str, markdown: str = "markdown") -> DataFrame:
+    """The documents that :func:`write_markdown` wrote."""
+    return spark.read.text(folder, wholetext=True).select(key, F.regexp_replace("value", r"\n\z", "").alias(markdown))

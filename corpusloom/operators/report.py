@@ -29,6 +29,36 @@ def file_types(files: DataFrame, keys: list[str], path: str, order: str, most: i
     return n.groupBy(*keys).agg(F.array_join(F.transform(top, lambda x: F.concat(x["ext"], F.lit(":"), (-x["n"]).cast("string"))), ", ").alias("types"))
 
 
+KINDS = ["positive", "negative"]
+FIELDS, FIELD_CHARS, MESSAGE_CHARS = 12, 1024, 4096
+
+
+def feedback(rows: DataFrame) -> DataFrame:
+    """Rows of feedback that count, as they are sent on; ``rows`` has kind, message and metadata (map of strings).
+
+    Other kinds and blank messages are left out.  Of the metadata the first
+    FIELDS fields with a value stay, by name; values and message are cut.
+    """
+    kept = F.map_filter("metadata", lambda _k, v: v.isNotNull() & (v != ""))
+    few = F.map_from_entries(F.slice(F.array_sort(F.map_entries(kept)), 1, FIELDS))
+    ok = rows.where(F.col("kind").isin(KINDS) & (F.length(F.trim("message")) > 0))
+    cut = F.transform_values(F.coalesce(few, F.create_map().cast("map<string,string>")), lambda _k, v: F.substring(v, 1, FIELD_CHARS))
+    return ok.withColumn("message", F.substring(F.trim("message"), 1, MESSAGE_CHARS)).withColumn("metadata", cut)
+
+
+RESULT = "request_id long, markdown string, tokens int, files_scanned long, priority_counts map<string,long>, compression_warning string"
+
+
+def to_response(results: DataFrame) -> DataFrame:
+    """(request_id, body): each result as JSON."""
+    return results.select("request_id", F.to_json(F.struct(*[c for c in results.columns])).alias("body"))
+
+
+def from_response(responses: DataFrame, schema: str = RESULT) -> DataFrame:
+    """Results read back from JSON; a body that is none gives nulls."""
+    return responses.select(F.from_json("body", schema).alias("r")).select("r.*")
+
+
 BLOCK = r"(?s)#### `([^`\n]+)`\n(?:(?!#### `).)*?```([\w+#-]*)\n(.*?)\n```"
 
 

@@ -23,6 +23,26 @@ class Context:
     choice: DataFrame  # the candidate that was taken
     attempts: DataFrame
 
+    def results(self) -> DataFrame:
+        """One row a request: the document with its nodes, edges and counts."""
+        node = F.struct(F.col("relative_path").alias("id"), "language", "priority", "reason", "importance_score", "graph_distance")
+        per = self.ranked.groupBy("request_id").agg(
+            F.count("*").alias("files_kept"), F.array_sort(F.collect_list(F.struct("rank_ord", node.alias("node")))).alias("_n"), *[F.count(F.when(F.col("priority") == p, 1)).alias(f"_{p}") for p in ("HIGH", "MEDIUM", "LOW")]
+        )
+        links = self.edges.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct(F.col("src").alias("source"), F.col("dst").alias("target")))).alias("edges"))
+        counts = F.create_map(*[x for p in ("HIGH", "MEDIUM", "LOW") for x in (F.lit(p), F.coalesce(f"_{p}", F.lit(0)))])
+        out = self.documents.join(per, "request_id", "left").join(links, "request_id", "left")
+        return out.select(
+            "request_id", "markdown", "tokens", F.coalesce("files_kept", F.lit(0)).alias("files_kept"), counts.alias("priority_counts"), F.transform(F.coalesce("_n", F.array()), lambda x: x["node"]).alias("nodes"),
+            F.coalesce("edges", F.array()).alias("edges"), "compression_warning",
+        )
+
+    def metrics(self) -> DataFrame:
+        """One row a request: files by priority, tokens and limit."""
+        limit = self.choice.select("request_id", "limit")
+        n = [F.col("priority_counts")[p].alias(p.lower()) for p in ("HIGH", "MEDIUM", "LOW")]
+        return self.results().join(limit, "request_id").select("request_id", "files_kept", *n, "tokens", "limit")
+
 
 def request_corpus(inputs: DataFrame, requests: DataFrame) -> DataFrame:
     """(request_id, relative_path, text, scan_ord, language, task, limit, loc, words) of all files of all requests.

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
+from ..functions import links, tokens
 from ..functions import messages as M
 from ..functions import text as T
 from ..operators import budget, compress, graph, imports, jobs, rank, render, report, resolve, running, scan
-from ..sources.tables import cut, shared_dir, table
+from ..sources.tables import cut, removed_at_end, shared_dir, spread, table
 from . import context, virtual
 from .virtual import DUCK_EDGES, DUCK_FILES
 
@@ -128,31 +129,38 @@ def replace_by_name(s, d):
     return scan.replace_by_name(table(s, d, "input_files", "repo", "name", "input_id"))
 
 
-@query(
-    "settings_link_roundtrip",
-    """SELECT request_id, translate(rtrim(to_base64(encode(concat(coalesce(task, ''), '|', CAST(coalesce(token_limit, 8000) AS BIGINT), '|', coalesce(locale, '')))), '='), '+/', '-_') AS link,
-    least(greatest(coalesce(token_limit, 8000), 1), 1000000)::BIGINT AS token_limit FROM requests""",
-)
+_LIMIT = "least(greatest(coalesce(token_limit, 8000), 1), 1000000)::BIGINT"
+
+
+@query("settings_link_roundtrip", f"SELECT request_id, coalesce(task, '') AS task, {_LIMIT} AS token_limit, CASE WHEN locale IN ('en', 'ru', 'zh', 'ja', 'hi') THEN locale ELSE 'en' END AS locale FROM requests")
 def settings_link_roundtrip(s, d):
     r = table(s, d, "requests", "request_id", "task", "token_limit", "locale")
-    packed = F.concat(F.coalesce("task", F.lit("")), F.lit("|"), F.coalesce("token_limit", F.lit(8000)).cast("long").cast("string"), F.lit("|"), F.coalesce("locale", F.lit("")))
-    link = F.translate(F.rtrim(F.replace(F.base64(F.encode(packed, "utf-8")), F.lit("\r\n"), F.lit("")), F.lit("=")), "+/", "-_")
-    coded = r.select("request_id", link.alias("link"))
-    pad = F.concat(F.translate("link", "-_", "+/"), F.repeat(F.lit("="), F.pmod(-F.length("link"), F.lit(4))))
-    back = F.decode(F.unbase64(pad), "utf-8")
-    limit = F.element_at(F.split(back, r"\|"), -2).try_cast("long")
-    return coded.select("request_id", "link", F.least(F.greatest(limit, F.lit(1)), F.lit(1_000_000)).cast("long").alias("token_limit"))
+    link = links.packed(F.col("task"), F.col("token_limit"), F.col("locale"))
+    return r.select("request_id", links.unpacked(link).alias("v")).select("request_id", "v.*")
+
+
+@query("settings_link_invalid", "SELECT request_id, true AS broken, true AS foreign_text FROM requests")
+def settings_link_invalid(s, d):
+    r = table(s, d, "requests", "request_id", "task", "token_limit", "locale")
+    link = links.packed(F.col("task"), F.col("token_limit"), F.col("locale"))
+    # Cut off in front, and not of the alphabet.
+    return r.select("request_id", links.unpacked(F.substring(link, 6, 10_000)).isNull().alias("broken"), links.unpacked(F.concat(link, F.lit("?"))).isNull().alias("foreign_text"))
 
 
 @query(
     "feedback_validate",
-    """SELECT event_id, lower(trim(status)) AS kind, left(trim(message), 4096) AS message, left(message_code, 1024) AS code FROM job_events
-    WHERE lower(trim(status)) IN ('completed', 'failed') AND length(trim(message)) > 0""",
+    """WITH f AS (SELECT event_id, CASE lower(trim(status)) WHEN 'completed' THEN 'positive' WHEN 'failed' THEN 'negative' ELSE 'other' END AS kind, message, coalesce(message_code, '') AS code, coalesce(error, '') AS error, job_id FROM job_events)
+    SELECT event_id, kind, left(trim(message), 4096) AS message, concat_ws(' ', CASE WHEN code <> '' THEN 'code=' || left(code, 1024) END, CASE WHEN error <> '' THEN 'error=' || left(error, 1024) END, 'job=' || job_id) AS fields
+    FROM f WHERE kind IN ('positive', 'negative') AND length(trim(message)) > 0""",
 )
 def feedback_validate(s, d):
-    e = table(s, d, "job_events", "event_id", "status", "message", "message_code").withColumn("kind", F.lower(F.trim("status")))
-    ok = e.where(F.col("kind").isin("completed", "failed") & (F.length(F.trim("message")) > 0))
-    return ok.select("event_id", "kind", F.substring(F.trim("message"), 1, 4096).alias("message"), F.substring("message_code", 1, 1024).alias("code"))
+    e = table(s, d, "job_events", "event_id", "job_id", "status", "message", "message_code", "error")
+    state = F.lower(F.trim("status"))
+    kind = F.when(state == "completed", "positive").when(state == "failed", "negative").otherwise("other")
+    meta = F.create_map(F.lit("job"), "job_id", F.lit("error"), "error", F.lit("code"), "message_code")
+    out = report.feedback(e.select("event_id", kind.alias("kind"), "message", meta.alias("metadata")))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), " ")
+    return out.select("event_id", "kind", "message", shown.alias("fields"))
 
 
 # ---- classification and text -------------------------------------------------
@@ -203,10 +211,30 @@ def request_locales(s, d):
     return table(s, d, "requests", "locale").groupBy(T.normalize_locale("locale").alias("loc")).agg(F.count("*").alias("n"))
 
 
-@query("locale_translate")
+_CATALOGUE = ", ".join(f"('{loc}', '{k}', '{known.get(k, en).replace(chr(39), chr(39) * 2)}')" for loc, known in M.MESSAGES.items() for k, en in M.MESSAGES["en"].items())
+_LOC = "CASE WHEN split_part(lower(coalesce(locale, 'en')), '-', 1) IN ('en', 'ru', 'zh', 'ja', 'hi') THEN split_part(lower(coalesce(locale, 'en')), '-', 1) ELSE 'en' END"
+
+
+@query("locale_translate", f"WITH m(loc, key, template) AS (VALUES {_CATALOGUE}), r AS (SELECT request_id, {_LOC} AS loc FROM requests) SELECT request_id, loc AS locale, key, template FROM r JOIN m USING (loc)")
 def locale_translate(s, d):
     r = table(s, d, "requests", "request_id", "locale").withColumn("locale", T.normalize_locale("locale"))
-    return r.join(F.broadcast(M.catalogue(s)), "locale").where(F.col("key").isin("title", "priority", "none")).select("request_id", "locale", "key", "template")
+    return r.join(F.broadcast(M.catalogue(s)), "locale").select("request_id", "locale", "key", "template")
+
+
+@query("token_costs", """SELECT response_id, CASE WHEN tokens >= 1000 THEN concat(format('{:,.1f}', tokens / 1000.0), 'k') ELSE tokens::VARCHAR END AS shown, concat('$', format('{:,.2f}', tokens * 0.000015)) AS cost FROM sift_responses WHERE tokens IS NOT NULL""")
+def token_costs(s, d):
+    r = table(s, d, "sift_responses", "response_id", "tokens").where("tokens is not null")
+    return r.select("response_id", T.format_tokens(F.col("tokens")).alias("shown"), T.format_cost(F.col("tokens")).alias("cost"))
+
+
+@query("contains_task_term", "SELECT doc_id, " + " OR ".join(f"contains(lower(text), '{w}')" for w in WORDS) + " AS found FROM documents WHERE text IS NOT NULL")
+def contains_task_term(s, d):
+    return table(s, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", T.contains_term(F.col("text"), virtual.words()).alias("found"))
+
+
+@query("bpe_tokens")
+def bpe_tokens(s, d):
+    return spread(table(s, d, "documents", "doc_id", "text"), "doc_id").select("doc_id", tokens.bpe_tokens(F.col("text")).alias("tokens"))
 
 
 @query("project_names", """SELECT request_id, CASE WHEN count(DISTINCT seg) = 1 AND bool_and(deep) THEN max(seg) ELSE 'Uploaded Project' END AS project FROM (SELECT request_id, string_split(replace(coalesce(name, ''), chr(92), '/'), '/')[1] AS seg,
@@ -246,13 +274,17 @@ def result_json(s, d):
 # ---- imports -----------------------------------------------------------------
 
 
-def _family(name: str, langs: list[str]):
+def _extract(name: str) -> str:
     pats = [p.replace("(?md)", "(?m)").replace("'", "''") for p, _g in imports.PATTERNS[name]]
     arrays = [f"regexp_extract_all(text, '{p}', 1)" for p in pats]
     if name == "go":
         inner = rf"(?:^|\s)(?:[A-Za-z_.]\w*\s+)?{imports.Q}".replace("'", "''")
         arrays.append(rf"flatten(list_transform(regexp_extract_all(text, '(?ms)^\s*import\s*\((.*?)\)', 1), lambda b: regexp_extract_all(b, '{inner}', 1)))")
-    every = f"list_concat({', '.join(arrays)})" if len(arrays) > 1 else arrays[0]
+    return f"list_concat({', '.join(arrays)})" if len(arrays) > 1 else arrays[0]
+
+
+def _family(name: str, langs: list[str]):
+    every = _extract(name)
     sql = f"SELECT DISTINCT file_id, unnest({every}) AS import_name FROM (SELECT * FROM source_files WHERE text IS NOT NULL AND coalesce(nullif(detected_language, 'unknown'), {lang_sql(NORMP)}) IN {_in(langs)})"
 
     @query(f"imports_{name}", sql)
@@ -264,6 +296,7 @@ def _family(name: str, langs: list[str]):
 
 for _n, _l in (("javascript", ["javascript", "typescript"]), ("dotted", ["java", "kotlin", "csharp", "swift"]), ("go", ["go"]), ("rust", ["rust"]), ("c", ["c", "cpp"]), ("php", ["php"]), ("ruby", ["ruby"])):
     _family(_n, _l)
+_family("dart", ["dart", "javascript", "typescript"])  # the table holds no Dart; its form of import is found in scripts, too
 
 
 def _sources(s, d):
@@ -306,10 +339,13 @@ def package_keys(s, d):
     return resolve.lookup_keys(_v(s, d), []).where("kind = 2").select("key", "path")
 
 
-@query("resolve_first_match", f"{WITH_E}, x AS (SELECT src, dst FROM e) SELECT src, dst, count(*) AS n FROM x GROUP BY src, dst")
+_BARE = "regexp_replace(b.relative_path, '[.][a-z]+$', '')"
+_IMPORTED = f"CASE WHEN a.src LIKE '%.ts' THEN '/' || b.relative_path WHEN a.src LIKE '%.go' THEN 'mod.example/' || {_BARE} ELSE replace({_BARE}, '/', '.') END"
+
+
+@query("resolve_first_match", f"{WITH_E} SELECT DISTINCT a.src, {_IMPORTED} AS import_name, b.relative_path AS dst FROM aim a JOIN v b ON b.doc_id = a.t JOIN e ON e.src = a.src AND e.dst = b.relative_path")
 def resolve_first_match(s, d):
-    r = resolve.resolved(virtual.found(s, d), _v(s, d), [])
-    return r.groupBy("src", "dst").agg(F.countDistinct("dst").alias("n"))
+    return resolve.resolved(virtual.found(s, d), _v(s, d), []).select("src", "import_name", "dst")
 
 
 @query("edges_distinct", f"{WITH_E} SELECT src, dst FROM e")
@@ -438,7 +474,23 @@ def reason_codes(s, d):
     return r.select("relative_path", F.array_join(F.transform(why, lambda x: x["code"]), " ").alias("codes"))
 
 
-@query("reason_text")
+def _message(key: str) -> str:
+    q = lambda x: x.replace("'", "''")
+    others = " ".join(f"WHEN '{loc}' THEN '{q(known[key])}'" for loc, known in M.MESSAGES.items() if key in known and loc != "en")
+    return f"(CASE loc {others} ELSE '{q(M.MESSAGES['en'][key])}' END)" if others else f"'{q(M.MESSAGES['en'][key])}'"
+
+
+def _filled(key: str, name: str = "", value: str = "") -> str:
+    return f"replace({_message(key)}, '{{{name}}}', CAST({value} AS VARCHAR))" if name else _message(key)
+
+
+REASONS = f"""concat_ws('; ', CASE WHEN s > 0 THEN {_filled('task_match', 'matches', 's')} END, CASE WHEN c >= 0.25 THEN {_filled('core_arch', 'centrality', 'round(c, 3)')} END,
+    CASE WHEN d IS NOT NULL THEN {_filled('graph_distance', 'distance', 'd')} END, CASE WHEN {ANDROID} THEN {_filled('android_source')} WHEN cat = 'source_code' THEN {_filled('source_file')} END, CASE WHEN {ENTRY} THEN {_filled('entry_point')} END,
+    CASE WHEN boiler THEN {_filled('boilerplate_penalty')} END, CASE WHEN cat = 'config_data' THEN {_filled('config_priority_cap')} END)"""
+
+
+@query("reason_text", f"""{WITH_RANK}, l(loc) AS (VALUES {', '.join(f"('{x}')" for x in T.LOCALES)}), k AS (SELECT relative_path, loc, x, {REASONS} AS why FROM rk CROSS JOIN l)
+    SELECT relative_path, loc, concat(CASE WHEN why = '' THEN {_filled('background_context')} ELSE why END, '; ', {_filled('final_score', 'final_score', 'round(x, 2)')}) AS reason FROM k""")
 def reason_text(s, d):
     r = _ranked(s, d)
     why = rank.reasons(F.col("lexical_score"), F.col("centrality"), F.col("graph_distance"), F.col("importance_score"), F.col("relative_path"), virtual.words())
@@ -606,10 +658,16 @@ def render_documents(s, d):
     return context.build(_inputs(s, d), _requests(s, d)).documents
 
 
-@query("low_summaries")
+_VIRTUAL = {"py": "python", "ts": "javascript", "kt": "dotted", "go": "go"}
+_STEM = f"translate(regexp_replace({NAME.format(p='relative_path')}, '[.][^.]+$', ''), '_-', '  ')"
+
+
+@query("low_summaries", f"""{WITH_RANK}, im AS (SELECT relative_path, list_sort(list_distinct(CASE {' '.join(f"WHEN relative_path LIKE '%.{e}' THEN {_extract(n)}" for e, n in _VIRTUAL.items())} ELSE [] END)) AS i FROM v)
+    SELECT relative_path, concat('- `', relative_path, '`: ', {_STEM}, CASE WHEN len(i) > 0 THEN concat('; imports ', array_to_string(i[1:3], ', ')) ELSE ' source file' END, '.') AS line FROM rk JOIN im USING (relative_path) WHERE priority <> 'HIGH'""")
 def low_summaries(s, d):
     f = virtual.found(s, d).groupBy(F.col("src").alias("relative_path")).agg(F.collect_set("import_name").alias("i"))
-    r = _ranked(s, d).where("priority = 'LOW'").join(f, "relative_path", "left")
+    # MEDIUM files too: few are LOW, and the line is made alike.
+    r = _ranked(s, d).where("priority <> 'HIGH'").join(f, "relative_path", "left")
     return r.select("relative_path", F.concat(F.lit("- `"), "relative_path", F.lit("`: "), T.summary("relative_path", F.col("i")), F.lit(".")).alias("line"))
 
 
@@ -645,9 +703,10 @@ def file_type_histogram(s, d):
     return report.file_types(_sources(s, d).select("repo", "relative_path", "file_id"), ["repo"], "relative_path", "file_id")
 
 
-@query("parse_blocks")
+@query("parse_blocks", r"""WITH p AS (SELECT response_id, unnest(string_split(markdown, '#### `')[2:]) AS part FROM sift_responses WHERE markdown IS NOT NULL),
+    b AS (SELECT response_id, regexp_extract(part, '(?s)^([^`\n]+)`\n.*?```([\w+#-]*)\n(.*?)\n```', ['path', 'language', 'content']) AS x FROM p) SELECT response_id, x.path AS path, x.language AS language, x.content AS content FROM b WHERE x.path <> ''""")
 def parse_blocks(s, d):
-    return report.blocks(table(s, d, "sift_responses", "response_id", "markdown"), "response_id", "markdown")
+    return report.blocks(table(s, d, "sift_responses", "response_id", "markdown"), "response_id", "markdown").drop("ord")
 
 
 @query("block_headings", "SELECT response_id, len(regexp_extract_all(markdown, '#### `([^`\\n]+)`', 1))::BIGINT AS n_files, coalesce(array_to_string(regexp_extract_all(markdown, '#### `([^`\\n]+)`', 1), ' '), '') AS paths FROM sift_responses WHERE markdown IS NOT NULL")
@@ -678,10 +737,36 @@ def can_submit(s, d):
     return r.select("request_id", (F.coalesce("_any", F.lit(False)) & (F.coalesce(F.trim("task"), F.lit("")) != "")).alias("ok"))
 
 
-@query("response_json")
+@query("response_json", """SELECT request_id, markdown, tokens::INT AS tokens, files_scanned::BIGINT AS files_scanned, CAST(priority_counts['HIGH'] AS BIGINT) AS high, compression_warning FROM sift_responses""")
 def response_json(s, d):
-    r = table(s, d, "sift_responses", "response_id", "request_id", "tokens", "files_scanned", "priority_counts")
-    return r.select("response_id", F.to_json(F.struct("request_id", "tokens", "files_scanned", "priority_counts")).alias("body"))
+    r = table(s, d, "sift_responses", "request_id", "markdown", "tokens", "files_scanned", "priority_counts", "compression_warning")
+    back = report.from_response(report.to_response(r))
+    return back.withColumn("high", F.try_element_at("priority_counts", F.lit("HIGH"))).drop("priority_counts")
+
+
+@query("markdown_files", "SELECT response_id::BIGINT AS response_id, length(markdown) AS chars FROM sift_responses WHERE markdown IS NOT NULL")
+def markdown_files(s, d):
+    at = f"{shared_dir(s)}/markdown-{uuid.uuid4().hex}"
+    render.write_markdown(table(s, d, "sift_responses", "response_id", "markdown"), at, "response_id")
+    removed_at_end(s, at)
+    return render.read_markdown(s, at, "response_id").select(F.col("response_id").cast("long").alias("response_id"), F.length("markdown").alias("chars"))
+
+
+@query("result_rows")
+def result_rows(s, d):
+    return context.build(_inputs(s, d), _requests(s, d)).results()
+
+
+@query("result_metrics")
+def result_metrics(s, d):
+    return context.build(_inputs(s, d), _requests(s, d)).metrics()
+
+
+@query("priority_groups")
+def priority_groups(s, d):
+    corpus = context.request_corpus(_inputs(s, d), _requests(s, d))
+    ids = ["request_id", "relative_path"]
+    return render.groups(context.ranked_files(corpus)[0].join(compress.parts(corpus, ids), ids, "left"))
 
 
 # ---- jobs ----------------------------------------------------------------------
@@ -696,6 +781,12 @@ def _events(s, d):
     return table(s, d, "job_events")
 
 
+@query("job_create", "SELECT concat('job-', request_id) AS job_id, request_id, epoch_us(created_at) AS created_us, 'queued' AS status, 0 AS progress, 'jobQueued' AS message_code FROM requests")
+def job_create(s, d):
+    r = jobs.created(table(s, d, "requests", "request_id", "created_at"))
+    return r.select("job_id", "request_id", F.unix_micros("ts").alias("created_us"), "status", "progress", "message_code")
+
+
 @query("job_latest_state", f"WITH {LATEST} SELECT job_id, status, progress, message_code, epoch_us(ts) AS updated_us FROM l")
 def job_latest_state(s, d):
     return jobs.latest(_events(s, d)).select("job_id", "status", "progress", "message_code", F.unix_micros("updated_at").alias("updated_us"))
