@@ -21,18 +21,28 @@ def read_events(spark: SparkSession, folder: str, glob: str = "job_events*.parqu
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("recursiveFileLookup", "true").parquet(folder)
 
 
-def states(events: DataFrame, stale: int = STALE_SECONDS) -> DataFrame:
+KEEP_SECONDS = 86_400  # how long an ended job's state waits for late events
+
+
+def states(events: DataFrame, stale: int = STALE_SECONDS, keep: int = KEEP_SECONDS) -> DataFrame:
     """A row whenever a job's record changes.
 
     The newest event by event time decides; one that comes late only fills a
     missing result or error.  A job that stays open without events for
-    ``stale`` seconds of processing time is failed by its timer.
+    ``stale`` seconds of processing time is failed by its timer.  An ended job
+    is kept ``keep`` seconds for events that come late, then its state is
+    removed without a row, so states don't grow for ever; what comes later
+    still begins a new record.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         old = state.get if state.exists else ("queued", None, None, None, None, -1, -1)
-        if state.hasTimedOut:
+        if state.hasTimedOut and old[0] in ("queued", "running"):
             new = ("failed", 100, "jobFailed", *old[3:])
+            state.update(new)
+            state.setTimeoutDuration(keep * 1000)
+        elif state.hasTimedOut:
+            new = old
             state.remove()
         else:
             rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
@@ -46,8 +56,7 @@ def states(events: DataFrame, stale: int = STALE_SECONDS) -> DataFrame:
                 else:
                     new = (*new[:3], new[3] or some(r.result_json), new[4] or some(r.error), *new[5:])
             state.update(new)
-            if new[0] in ("queued", "running"):
-                state.setTimeoutDuration(stale * 1000)
+            state.setTimeoutDuration((stale if new[0] in ("queued", "running") else keep) * 1000)
         if new != old:
             yield pd.DataFrame([(key[0], *new[:5], pd.Timestamp(new[5], unit="us", tz="UTC"))], columns=[c.split()[0] for c in OUT.split(", ")])
 

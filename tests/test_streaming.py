@@ -1,7 +1,10 @@
 import datetime as dt
+import time
 
 from corpusloom.streaming import jobs
 
+KIND = "event_id long, job_id string, request_id long, ts timestamp, received_at timestamp, status string, progress int, message string, message_code string, result_json string, error string"
+
 
 def test_stream_keeps_the_newest_state(spark, tmp_path):
     t = dt.datetime(2025, 1, 1)
@@ -11,3 +14,29 @@ def test_stream_keeps_the_newest_state(spark, tmp_path):
     jobs.run_once(jobs.read_events(spark, str(tmp_path / "in"), "*.parquet"), str(tmp_path / "out"), str(tmp_path / "cp"))
     got = {r.job_id: (r.status, r.progress, r.result_json) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"a": ("completed", 100, "{}"), "b": (None, None, None)}
+
+
+def test_timers_and_late_events(spark, tmp_path):
+    t = dt.datetime(2025, 1, 1)
+    at = str(tmp_path / "in")
+    row = lambda i, job, sec, status, result=None: (i, job, 1, t + dt.timedelta(seconds=sec), t, status, 10, None, None, result, None)
+    add = lambda rows: spark.createDataFrame(rows, KIND).coalesce(1).write.mode("append").parquet(at)
+    add([row(1, "open", 0, "running"), row(2, "done", 9, "completed")])
+    seen = []
+
+    def sink(df, _batch):
+        seen.extend((r.job_id, r.status, r.message_code, r.result_json) for r in df.collect())
+
+    events = spark.readStream.schema(KIND).parquet(at)
+    q = jobs.states(events, stale=3, keep=60).writeStream.outputMode("update").trigger(processingTime="1 second").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(sink).start()
+    try:
+        until = time.time() + 90
+        while time.time() < until and ("open", "failed", "jobFailed", None) not in seen:
+            time.sleep(0.5)
+        # Late: older than the end, so it only fills the result that was missing.
+        add([row(3, "done", 5, "running", "{}")])
+        while time.time() < until and ("done", "completed", None, "{}") not in seen:
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert ("open", "failed", "jobFailed", None) in seen and ("done", "completed", None, "{}") in seen and ("done", "running", None, "{}") not in seen
