@@ -15,45 +15,21 @@ bucket in which the rest runs out is ordered by document.
 
 from __future__ import annotations
 
-import base64
-from functools import lru_cache
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import spread, written
+from ..functions.tokens import VOCABULARY, bpe_tokens
+from ..sources.tables import salted, spread, written
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-# Fixed value: the split pattern that belongs to the vocabulary.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BUCKETS = 4096
+IN_BUCKET = 50_000  # documents of a source that one bucket of the hash holds, about
 SMALL = 100_000  # rows of mix_targets up to which they are broadcast
 
 
-@lru_cache(maxsize=2)
-def _encoding(path: str):
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    try:
-        from public_tokenizers import PATTERN as pattern
-    except ImportError:
-        pattern = PATTERN
-    return tiktoken.Encoding("mix", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, n_tokens) of all documents with text."""
 
-    @F.pandas_udf("long")
-    def count(t: pd.Series) -> pd.Series:
-        e = _encoding(vocabulary)
-        return pd.Series([len(e.encode_ordinary(x)) for x in t], dtype="int64")
-
     some = documents.select("doc_id", "source", "text").where(F.col("text").rlike(r"\S"))
-    return spread(some, "doc_id").select("doc_id", "source", count("text").alias("n_tokens"))
+    return spread(some, "doc_id").select("doc_id", "source", bpe_tokens(F.col("text"), vocabulary, approximate=False).alias("n_tokens"))
 
 
 def allotments(sizes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -91,12 +67,16 @@ def chosen(counts: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     times.  No document is repeated more than max_repeats times; the choice
     depends on the seed and the ids only.
     """
-    sizes = counts.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
-    plan = allotments(sizes, targets).where("allotted > 0")
+    sizes = counts.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
+    plan = allotments(sizes, targets).where("allotted > 0").join(sizes.select("source", "docs"), "source")
+    # A source has as many buckets as keep each small, so the one that is ordered does not grow with it.
+    plan = plan.withColumn("_buckets", F.greatest(F.lit(64), F.ceil(F.col("docs") / IN_BUCKET) * 16).cast("long"))
     plan = plan.withColumn("_whole", F.floor(F.col("allotted") / F.col("tokens") + 1e-9)).withColumn("_rest", F.greatest(F.col("allotted") - F.col("_whole") * F.col("tokens"), F.lit(0.0)))
-    few = targets.limit(SMALL + 1).count() <= SMALL
-    joined = counts.join(F.broadcast(plan) if few else plan, "source")
-    joined = joined.withColumn("_h", F.xxhash64(F.lit(seed), "mix_id", "doc_id")).withColumn("_bucket", F.pmod(F.col("_h"), F.lit(BUCKETS)))
+    plan = written(plan, "p7-plan")  # a row a mix and source; read four times
+    few = plan.count() <= SMALL
+    # Beyond that, a source that holds a third of all documents is spread over salts.
+    joined = counts.join(F.broadcast(plan), "source") if few else salted(counts, plan, ["source"], ["doc_id"])
+    joined = joined.withColumn("_h", F.xxhash64(F.lit(seed), "mix_id", "doc_id")).withColumn("_bucket", F.pmod(F.col("_h"), F.col("_buckets")))
     buckets = joined.groupBy("mix_id", "source", "_bucket").agg(F.sum("n_tokens").alias("_n"), F.first("_rest").alias("_r"))
     upto = Window.partitionBy("mix_id", "source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
@@ -104,7 +84,7 @@ def chosen(counts: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     edge = buckets.where((F.col("_before") < F.col("_r")) & (F.col("_before") + F.col("_n") > F.col("_r"))).select("mix_id", "source", F.col("_bucket").alias("_edge"), "_before")
     last = buckets.where(F.col("_before") + F.col("_n") <= F.col("_r")).groupBy("mix_id", "source").agg(F.max("_bucket").alias("_last"))
     cuts = plan.select("mix_id", "source").join(edge, ["mix_id", "source"], "left").join(last, ["mix_id", "source"], "left")
-    joined = joined.join(F.broadcast(cuts) if few else cuts, ["mix_id", "source"])
+    joined = joined.join(F.broadcast(cuts), ["mix_id", "source"]) if few else salted(joined, cuts, ["mix_id", "source"], ["doc_id"])
     inside = joined.where(F.col("_bucket") == F.col("_edge"))
     running = F.sum("n_tokens").over(Window.partitionBy("mix_id", "source").orderBy("_h", "doc_id"))
     picked = inside.withColumn("_sum", running).where(F.col("_before") + F.col("_sum") - F.col("n_tokens") / 2 <= F.col("_rest")).select("mix_id", "source", "doc_id", F.lit(1).alias("_one"))
