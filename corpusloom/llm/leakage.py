@@ -1,15 +1,16 @@
 """Problem 6: passages of evaluation items in training documents.
 
-Each task indexes the documents it holds, shard by shard: the words of a shard
-are numbered by the items' vocabulary, its suffixes sorted by prefix doubling,
-and their Burrows-Wheeler transform stored as a wavelet matrix with running
-ranks.  All phrases of PHRASE words of all items are searched at once, word
+Each task indexes the documents it holds, shard by shard, once: the words of a
+shard are numbered by the vocabulary of all items, its suffixes sorted by
+prefix doubling, and their Burrows-Wheeler transform stored as a wavelet matrix
+with running ranks.  All phrases of PHRASE words of all items are searched at once, word
 by word from the back, as vectors of intervals.  Positions are sampled; those
 of hits are found by stepping back to the next sample.  Hits of neighbouring
 phrases are merged into spans to remove.
 
-The items are the stated query set.  They go to the tasks in blocks of at
-most BLOCK, however many there are.
+The items are the stated query set.  Their phrases go to the tasks as
+broadcasts of about BLOCK items each, which a shard's index is asked one after the
+other, however many there are; the documents are read once.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import spread
 
 PHRASE = 13  # consecutive words that make a leak
-BLOCK = 5_000  # items searched in one pass over the documents
+BLOCK = 5_000  # items whose phrases are searched together
 SHARD = 1_000_000  # words indexed together
 SAMPLE = 16  # every so many-th position is kept
 
@@ -134,8 +135,8 @@ class Index:
         return out
 
 
-def _phrases(items: list[tuple[int, str]]) -> tuple[dict[str, int], np.ndarray, list[list[int]]]:
-    vocabulary: dict[str, int] = {}
+def _phrases(items: list[tuple[int, str]], vocabulary: dict[str, int]) -> tuple[np.ndarray, list[list[int]]]:
+    """The distinct phrases of items, as numbers of the vocabulary, which grows, and the items that hold each."""
     seen: dict[tuple[int, ...], list[int]] = {}
     for item, text in items:
         codes = [vocabulary.setdefault(w, len(vocabulary) + 2) for w in words_of(text)[0]]
@@ -143,10 +144,10 @@ def _phrases(items: list[tuple[int, str]]) -> tuple[dict[str, int], np.ndarray,
             owners = seen.setdefault(tuple(codes[i : i + PHRASE]), [])
             if item not in owners:
                 owners.append(item)
-    return vocabulary, np.array(list(seen), np.int64).reshape(-1, PHRASE), list(seen.values())
+    return np.array(list(seen), np.int32).reshape(-1, PHRASE), list(seen.values())
 
 
-def _search_shard(docs: list, vocabulary: dict, phrases: np.ndarray, owners: list) -> list[tuple]:
+def _search_shard(docs: list, vocabulary: dict, blocks: list) -> list[tuple]:
     """Spans (doc_id, item_id, first word, words, start, stop) of one shard."""
     codes, places, starts = [], [], []
     for _doc, text in docs:
@@ -156,17 +157,18 @@ def _search_shard(docs: list, vocabulary: dict, phrases: np.ndarray, owners: lis
         codes.append(0)
         places.append(spans)
     index = Index(np.array(codes, np.int64), len(vocabulary) + 2)
-    lo, hi = index.search(phrases)
-    found = np.flatnonzero(hi > lo)
-    if not len(found):
-        return []
-    rows = np.concatenate([np.arange(a, b) for a, b in zip(lo[found], hi[found])])
-    which = np.repeat(found, hi[found] - lo[found])
-    at = index.locate(rows)
-    doc = np.searchsorted(starts, at, side="right") - 1
-    hits = sorted({(int(d), item, int(p) - starts[d]) for d, p, w in zip(doc, at, which) for item in owners[w]})
+    hits = set()
+    for block in blocks:
+        phrases, owners = block.value
+        lo, hi = index.search(phrases)
+        found = np.flatnonzero(hi > lo)
+        if len(found):
+            rows = np.concatenate([np.arange(a, b) for a, b in zip(lo[found], hi[found])])
+            at = index.locate(rows)
+            doc = np.searchsorted(starts, at, side="right") - 1
+            hits |= {(int(d), item, int(p) - starts[d]) for d, p, w in zip(doc, at, np.repeat(found, hi[found] - lo[found])) for item in owners[w]}
     out: list[list[int]] = []
-    for d, item, p in hits:
+    for d, item, p in sorted(hits):
         if out and out[-1][:2] == [d, item] and p <= out[-1][3]:
             out[-1][3] = p + PHRASE
         else:
@@ -186,29 +188,31 @@ def leaked_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
     documents are found under each id.
     """
     known = items.select("item_id", "text").where("text is not null")
-    n = known.count()
-    blocks = -(-n // BLOCK) or 1
-    out = None
-    docs = spread(documents.select("doc_id", "text").where(F.col("text").rlike(r"\S")), "doc_id")
-    for k in range(blocks):
-        block = known if blocks == 1 else known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        vocabulary, phrases, owners = _phrases([tuple(r) for r in block.orderBy("item_id").toLocalIterator()])
-
-        def find(batches: Iterator[pd.DataFrame], v=vocabulary, p=phrases, o=owners) -> Iterator[pd.DataFrame]:
-            shard, size = [], 0
-            for batch in batches:
-                for d, t in zip(batch["doc_id"], batch["text"]):
-                    shard.append((d, t))
-                    size += t.count(" ") + 2
-                    if size >= SHARD:
-                        yield pd.DataFrame(_search_shard(shard, v, p, o), columns=[c.split()[0] for c in SPANS.split(", ")])
-                        shard, size = [], 0
-            if shard and len(p):
-                yield pd.DataFrame(_search_shard(shard, v, p, o), columns=[c.split()[0] for c in SPANS.split(", ")])
-
-        part = docs.mapInPandas(find, SPANS)
-        out = part if out is None else out.unionByName(part)
-    return out
+    n = -(-known.count() // BLOCK) or 1
+    sc, vocabulary, blocks = documents.sparkSession.sparkContext, {}, []
+    for k in range(n):
+        block = known if n == 1 else known.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
+        made = _phrases([tuple(r) for r in block.orderBy("item_id").toLocalIterator()], vocabulary)
+        if len(made[0]):
+            blocks.append(sc.broadcast(made))
+    shared = sc.broadcast(vocabulary)
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def searched(shard: list) -> pd.DataFrame:
+            return pd.DataFrame(_search_shard(shard, shared.value, blocks), columns=[c.split()[0] for c in SPANS.split(", ")])
+
+        shard, size = [], 0
+        for batch in batches if blocks else ():
+            for d, t in zip(batch["doc_id"], batch["text"]):
+                shard.append((d, t))
+                size += t.count(" ") + 2
+                if size >= SHARD:
+                    yield searched(shard)
+                    shard, size = [], 0
+        if shard:
+            yield searched(shard)
+
+    return spread(documents.select("doc_id", "text").where(F.col("text").rlike(r"\S")), "doc_id").mapInPandas(find, SPANS)
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -124,6 +124,13 @@ def oracle_sql() -> dict[str, str]:
                  dg AS (SELECT DISTINCT doc_id, unnest({grams}) AS g FROM d),
                  eg AS (SELECT DISTINCT item_id, unnest({grams}) AS g FROM e)
             SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)""",
+        "p6_items": f"""
+            WITH d AS (SELECT doc_id, {words} AS w FROM documents WHERE text IS NOT NULL),
+                 e AS (SELECT item_id, {words} AS w FROM eval_items WHERE text IS NOT NULL),
+                 dg AS (SELECT DISTINCT doc_id, unnest({grams}) AS g FROM d),
+                 eg AS (SELECT DISTINCT item_id, unnest({grams}) AS g FROM e),
+                 n AS (SELECT item_id, count(DISTINCT doc_id) AS n_documents FROM dg JOIN eg USING (g) GROUP BY item_id)
+            SELECT item_id, suite, split, n_documents FROM n JOIN eval_items USING (item_id)""",
         "p8_labels": f"""
             WITH names(n, c) AS (VALUES {names})
             SELECT c AS code, count(*) AS n_docs

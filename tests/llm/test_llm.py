@@ -330,7 +330,9 @@ def test_data_forms_agree_with_exact_parsers():
             assert (t, bool(_wrong(_verdict(t, lang, 64_000), lang))) == (t, bad)
 
 
-def test_leaks_match_brute_force(spark):
+@pytest.mark.parametrize("block", [leakage.BLOCK, 7])
+def test_leaks_match_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(leakage, "BLOCK", block)
     rng = np.random.default_rng(3)
     w = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 60, n))
     items = [(i, "s", "t", w(40)) for i in range(20)] + [(90, "s", "t", "too short"), (91, "s", "t", None)]
