@@ -268,6 +268,20 @@ def is_meaningful(doc: str, name: str, header: str) -> bool:
     return len(words) >= 6
 
 
+def with_signatures(found: DataFrame, declarations: DataFrame) -> DataFrame:
+    """Add ``signature``, as the declarations table has it for the function; null where it has none.
+
+    Its line numbers may be stale and a name may stand in a file more than
+    once: of the declarations of that name the one nearest by line is taken,
+    ties by decl_id.
+    """
+    name = F.regexp_extract("signature", r"^(?:func\s*\([^()]*\)\s*)?.*?([\w$]+[?!]?)\s*(?:<[^<>()]*>)?\s*\(", 1)
+    known = declarations.where("kind = 'function' and signature is not null").select("file_id", name.alias("name"), "decl_id", "start_line", "signature").where("name <> ''")
+    far = F.coalesce(F.abs(F.col("start_line") - F.col("line_no")), F.lit(1 << 30))
+    nearest = found.select("file_id", "name", "line_no").join(known, ["file_id", "name"]).groupBy("file_id", "name", "line_no").agg(F.min_by("signature", F.struct(far, F.col("decl_id"))).alias("signature"))
+    return found.join(nearest, ["file_id", "name", "line_no"], "left")
+
+
 def pairs(files: DataFrame, invalid: DataFrame, repaired: DataFrame | None = None) -> DataFrame:
     """Functions with non-trivial documentation: file_id, line_no, end_line, name, header, description.
 

@@ -55,7 +55,8 @@ def p3_found(s, d):
 
 
 def p3_pairs(s, d):
-    return _pairs(s, d)
+    found = written(_pairs(s, d), "p3-pairs")
+    return docpairs.with_signatures(found, table(s, d, "declarations", "decl_id", "file_id", "kind", "start_line", "signature"))
 
 
 def p4_found(s, d):

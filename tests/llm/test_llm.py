@@ -163,6 +163,14 @@ def test_function_pairs(spark):
     assert docpairs.pairs(files.limit(0), bad).count() == 0
 
 
+def test_signatures_of_stale_declarations(spark):
+    found = spark.createDataFrame([(1, 4, 6, "Load", "func (s *T) Load(n int) int", "d"), (1, 40, 41, "Load", "func Load()", "d"), (2, 1, 2, "f", "def f(a)", "d")], "file_id long, line_no int, end_line int, name string, header string, description string")
+    rows = [(1, 1, "function", 9, "func (s *T) Load(n int) int"), (2, 1, "function", None, "func Load()"), (3, 1, "function", 38, "func Load()"), (4, 1, "class", 4, "type Load struct"), (5, 3, "function", 1, "def f(a)"), (6, 2, "function", 1, None)]
+    decl = spark.createDataFrame(rows, "decl_id long, file_id long, kind string, start_line int, signature string")
+    got = {(r.file_id, r.line_no): r.signature for r in docpairs.with_signatures(found, decl).collect()}
+    assert got == {(1, 4): "func (s *T) Load(n int) int", (1, 40): "func Load()", (2, 1): None}
+
+
 @pytest.mark.parametrize("chain", range(len(encoding.CHAINS)))
 def test_garbling_is_undone(chain):
     for word in ("être", "Модуль", "扫描器", "don’t", "サーバー"):
