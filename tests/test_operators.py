@@ -202,3 +202,45 @@ def test_limits_and_locales(spark):
     assert [x[0] for x in r] == [8000, 1_000_000, 500, None, None, None]
     rows = spark.createDataFrame([(1, "t", 0, "EN-us"), (2, "t", None, None), (3, "t", 2_000_000, "fr")], "request_id long, task string, token_limit int, locale string")
     assert [(x.limit, x.loc) for x in budget.limits(rows).orderBy("request_id").collect()] == [(None, "en"), (8000, "en"), (None, "en")]
+
+
+def test_hot_keys_are_salted_alike(spark):
+    from corpusloom.sources import tables
+
+    left = spark.range(300).select(F.col("id"), F.when(F.col("id") % 3 == 0, "hub").otherwise(F.col("id").cast("string")).alias("k"), F.lit(1).alias("v"))
+    right = spark.createDataFrame([("hub", 7), ("1", 8), ("none", 9)], "k string, w int")
+    want = sorted(tuple(r) for r in left.join(right, "k", "left").select("id", "w").collect())
+    assert sorted(tuple(r) for r in tables.lookup(left, right, ["k"], width=1 << 40, salt="id").select("id", "w").collect()) == want
+    parts = tables.salted(left, right, ["k"], ["id"], 8).where("k = 'hub'")
+    assert parts.count() == 100
+
+
+def test_settings_links(spark):
+    from corpusloom.functions import links
+
+    rows = [("fix é/+?", 2.6, "ru"), (None, None, None), ("x", 9e9, "xx")]
+    r = spark.createDataFrame(rows, "t string, n double, l string").select(links.packed(F.col("t"), F.col("n"), F.col("l")).alias("k"))
+    got = [tuple(x.v) for x in r.select(links.unpacked(F.col("k")).alias("v")).collect()]
+    assert got == [("fix é/+?", 3, "ru"), ("", 8000, "en"), ("x", 1_000_000, "en")]
+    bad = spark.createDataFrame([("",), ("a",), ("!!",), ("bm9uZQ",), (None,)], "k string")
+    assert [x.v for x in bad.select(links.unpacked(F.col("k")).alias("v")).collect()] == [None] * 5
+
+
+def test_feedback_and_created_jobs(spark):
+    meta = {f"k{i:02}": "v" * 2000 for i in range(20)} | {"a": "", "b": None}
+    rows = [("positive", " hi ", meta), ("other", "x", {}), ("negative", "  ", None), ("negative", "y" * 5000, None)]
+    got = report.feedback(spark.createDataFrame(rows, "kind string, message string, metadata map<string,string>")).collect()
+    assert [(r.kind, len(r.message), sorted(r.metadata), {len(v) for v in r.metadata.values()}) for r in got] == [("positive", 2, [f"k{i:02}" for i in range(12)], {1024}), ("negative", 4096, [], set())]
+    made = jobs.created(spark.createDataFrame([(5, dt.datetime(2025, 1, 1)), (5, dt.datetime(2025, 1, 1))], "request_id long, created_at timestamp")).collect()
+    assert [(r.job_id, r.status, r.progress, r.message_code) for r in made] == [("job-5", "queued", 0, "jobQueued")]
+
+
+def test_results_with_nodes_and_edges(spark):
+    f = files(spark, [("src/app.py", "import src.db\n# billing\n"), ("src/db.py", "x = 1\n")])
+    c = build_context(spark, f.select("relative_path", "text"), "billing workflow", 8000)
+    (r,) = c.results().collect()
+    assert [n.id for n in r.nodes][0] == "src/app.py" and r.priority_counts["HIGH"] >= 1 and [tuple(e) for e in r.edges] == [("src/app.py", "src/db.py")]
+    (m,) = c.metrics().collect()
+    assert m.files_kept == len(r.nodes) and m.limit == 8000 and m.tokens == r.tokens
+    back = report.from_response(report.to_response(c.results().drop("nodes", "edges").withColumn("files_scanned", F.lit(2).cast("long")))).collect()
+    assert back[0].markdown == r.markdown
