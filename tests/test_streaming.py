@@ -40,3 +40,38 @@ def test_timers_and_late_events(spark, tmp_path):
     finally:
         q.stop()
     assert ("open", "failed", "jobFailed", None) in seen and ("done", "completed", None, "{}") in seen and ("done", "running", None, "{}") not in seen
+
+
+def test_stream_reads_tables_that_are_folders_and_single_files(spark, tmp_path):
+    from corpusloom.plans.queries import QUERIES
+
+    t = dt.datetime(2025, 1, 1)
+    row = lambda i, job, status: (i, job, 1, t + dt.timedelta(seconds=i), t, status, 10, None, None, None, None)
+    df = spark.createDataFrame([row(1, "a", "queued"), row(2, "b", "queued"), row(3, "a", "running"), row(4, "c", "completed"), (5, "d", 1, None, t, "running", 10, None, None, None, None)], KIND)
+    at_second = lambda s: t + dt.timedelta(seconds=s)
+    want = {"a": ("running", at_second(3)), "b": ("queued", at_second(2)), "c": ("completed", at_second(4)), "d": ("running", None)}
+    # A folder of part files, and beside it a table that is not to be read.
+    df.repartition(3).write.parquet(str(tmp_path / "folder" / "job_events.parquet"))
+    spark.range(5).write.parquet(str(tmp_path / "folder" / "requests.parquet"))
+    # The same as one file.
+    df.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "parts").glob("part-*.parquet")).rename(tmp_path / "file" / "job_events.parquet")
+    for at in ("folder", "file"):
+        got = QUERIES["job_stream_state"](spark, str(tmp_path / at)).collect()
+        assert {r.job_id: (r.status, r.updated_at) for r in got} == want and len(got) == 4
+
+
+def test_stream_counts_repeated_events_once_by_their_first_id(spark, tmp_path):
+    t, at = dt.datetime(2025, 1, 1), str(tmp_path / "in" / "log.parquet")
+    row = lambda i, job, sec, status, progress, result=None: (i, job, 1, t + dt.timedelta(seconds=sec), t, status, progress, None, None, result, None)
+
+    def run(rows, batch):
+        spark.createDataFrame(rows, KIND).coalesce(1).write.mode("append").parquet(at)
+        jobs.run_once(jobs.read_events(spark, str(tmp_path / "in"), "*.parquet"), str(tmp_path / "out"), str(tmp_path / "cp"))
+        return {r.job_id: (r.status, r.progress, r.result_json) for r in spark.read.parquet(str(tmp_path / "out" / f"batch={batch}")).collect()}
+
+    first = [row(5, "a", 9, "completed", 100, "1"), row(8, "a", 9, "COMPLETED", None, "2"), row(6, "b", 9, "running", 40), row(7, "b", 9, "failed", 100), row(9, "b", 9, "running", 60), row(5, "c", 9, "running", 40)]
+    assert run(first, 0) == {"a": ("completed", 100, "1"), "b": ("failed", 100, None), "c": ("running", 40, None)}
+    # In a later batch: repeats change nothing, but the one with a lower id takes the record over.
+    assert run([row(10, "a", 9, "completed", 7, "3"), row(4, "c", 9, "running", 50)], 1) == {"c": ("running", 50, None)}
